@@ -115,6 +115,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     sized = materialise(sized, "mix-sizes")
     plan = make_plan(sized, weights, share, cap)
+    if not plan.sources:
+        return sized.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     at = lay_out(sized, plan)
     laid = materialise(at.withColumn("row", F.monotonically_increasing_id()), "mix-order")
     first, last = F.floor(F.col("start") / plan.block), F.floor((F.col("start") + F.col("size") - 1) / plan.block)
