@@ -259,9 +259,11 @@ def near_components(docs: DataFrame, words: int = 4, bound: int = 4, id_col: str
 WIDE_WORDS, BAND_BITS, CHECK_WORDS = 12, 16, 6
 
 
-def likeness_bound(likeness: float, bits: int) -> int:
-    """Differing bits of `bits` that are expected at a Jaccard likeness: sets at that likeness have the cosine 2 j / (1 + j)."""
-    return int(np.floor(bits * np.arccos(2 * likeness / (1 + likeness)) / np.pi))
+def likeness_bound(likeness: float, bits: int, slack: float = 0.7) -> int:
+    """Differing bits of `bits` at a Jaccard likeness, and so many standard errors more: sets at that likeness have the
+    cosine 2 j / (1 + j), and each bit differs with the angle's share of a half turn."""
+    share = np.arccos(2 * likeness / (1 + likeness)) / np.pi
+    return int(np.floor(bits * share + slack * np.sqrt(bits * share * (1 - share))))
 
 
 def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count: int = WIDE_WORDS) -> DataFrame:
