@@ -218,3 +218,10 @@ def call_gaps(calls: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("run_id").orderBy("sequence"))
     return calls.withColumn("nth", nth).where("sequence <> nth").groupBy("run_id").agg(F.min("nth").alias("first_missing"))
 
+
+def envelopes(runs: DataFrame, legacy: DataFrame) -> DataFrame:
+    """run_id, kind and body of each run's stored outcome: its result, else its adapted legacy result, else an empty envelope from its row."""
+    rows = runs.join(legacy.select("run_id", "adapted_json"), "run_id", "left")
+    empty = F.to_json(F.struct("run_id", "status", "question", F.array().cast("array<string>").alias("claims")))
+    kind = F.when(F.col("result_json").isNotNull(), "stored").when(F.col("adapted_json").isNotNull(), "adapted").otherwise("empty")
+    return rows.select("run_id", kind.alias("kind"), F.coalesce("result_json", "adapted_json", empty).alias("body"))

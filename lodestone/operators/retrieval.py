@@ -137,3 +137,18 @@ def recall_at(hits: DataFrame, relevant: DataFrame, depths: tuple[int, ...] = (1
     best = relevant.join(hits, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
     columns = [F.round(F.avg(F.when(F.col("rank") <= d, 1.0).otherwise(0.0)), 6).alias(f"recall_{d}") for d in depths]
     return best.agg(*columns, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def golden_results(cases: DataFrame, hits: DataFrame, records: DataFrame, contains, least: float = 0.95) -> DataFrame:
+    """One row: mean recall, passed cases and whether the gate holds. cases: case_id, passages, absent, absence_pages; hits: query_id, id.
+
+    A passage is found if a hit's text holds it; `absent` must not stand on the pages named (all pages where none are).
+    """
+    texts = hits.join(records.select(F.col("chunk_id").alias("id"), "page", "normalized_text"), "id").select(F.col("query_id").alias("case_id"), "normalized_text")
+    wanted = cases.select("case_id", F.posexplode("passages").alias("n", "passage"))
+    found = wanted.join(texts, "case_id", "left").groupBy("case_id", "n").agg(F.bool_or(F.coalesce(contains(F.col("passage"), F.col("normalized_text")), F.lit(False))).alias("found"))
+    recall = found.groupBy("case_id").agg(F.avg(F.col("found").cast("int")).alias("recall"))
+    pages = cases.where("absent IS NOT NULL").join(records.select("page", "normalized_text"), F.coalesce(F.size("absence_pages"), F.lit(0)).isin(0, -1) | F.array_contains("absence_pages", F.col("page")))
+    broken = pages.groupBy("case_id").agg(F.bool_or(contains(F.col("absent"), F.col("normalized_text"))).alias("present"))
+    each = cases.select("case_id").join(recall, "case_id", "left").join(broken, "case_id", "left").select("case_id", F.coalesce("recall", F.lit(1.0)).alias("recall"), (~F.coalesce("present", F.lit(False))).alias("kept_out"))
+    return each.agg(F.avg("recall").alias("recall"), F.count_if((F.col("recall") == 1) & F.col("kept_out")).alias("passed"), ((F.avg("recall") >= least) & F.bool_and((F.col("recall") == 1) & F.col("kept_out"))).alias("holds"))

@@ -77,3 +77,9 @@ def test_tool_budgets(spark):
     log = pd.DataFrame([("r", n, "search", f"s{n}", [], [], 0, 0) for n in range(1, 6)] + [("r", 6, "search", "s1", [], [], 0, 0), ("r", 7, "read", "", [f"c{i}" for i in range(51)], [1] * 51, 0, 0), ("r", 8, "inspect", "", [], [], 4, 1)], columns=["run_id", "sequence", "tool", "signature", "chunk_ids", "chunk_tokens", "pages", "characters"])
     got = budgets.tool_outcomes(spark.createDataFrame(log, "run_id string, sequence int, tool string, signature string, chunk_ids array<string>, chunk_tokens array<int>, pages int, characters int"))
     assert [r.outcome for r in got.orderBy("sequence").collect()] == ["ok"] * 4 + ["searches", "ok", "chunks", "inspection"]
+
+
+def test_envelopes(spark):
+    runs = spark.createDataFrame([("a", "completed", "q", "{}"), ("b", "completed", "q", None), ("c", "failed", "q", None)], "run_id string, status string, question string, result_json string")
+    legacy = spark.createDataFrame([("b", '{"old":1}')], "run_id string, adapted_json string")
+    assert {r.run_id: r.kind for r in ledger.envelopes(runs, legacy).collect()} == {"a": "stored", "b": "adapted", "c": "empty"}

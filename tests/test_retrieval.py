@@ -71,3 +71,24 @@ def test_passages_inside_texts(spark):
     texts = spark.createDataFrame([(1, "one two three four"), (2, "xone two threey"), (3, "a.b")], "doc_id long, text string")
     passages = spark.createDataFrame([(1, "one two three"), (2, "."), (3, "two three"), (4, "missing words here")], "item_id long, passage string")
     assert {tuple(r) for r in containment.contained_passages(texts, passages).collect()} == {(1, 1), (2, 1), (1, 3), (2, 3), (3, 2)}
+
+
+def test_hashed_embeddings_find_their_text(spark):
+    from lodestone.functions.embedding import hashed_embedding
+
+    texts = spark.createDataFrame([(i, f"{t} {'filler sentence ' * 5}") for i, t in enumerate(SEEDS)], "id long, text string")
+    vectors = texts.select("id", hashed_embedding(F.col("text")).alias("vector"))
+    queries = texts.select(F.col("id").alias("query_id"), hashed_embedding(F.col("text")).alias("query_vector"))
+    assert {(r.query_id, r.id) for r in R.dense_topk(vectors, queries, 1).collect()} == {(i, i) for i in range(len(SEEDS))}
+    assert spark.range(1).select(hashed_embedding(F.lit("--")).alias("v")).first().v is None
+
+
+def test_golden_gate(spark):
+    from lodestone.functions import arrow
+
+    records = spark.createDataFrame([("c1", 1, "Fee-related earnings were $345 million"), ("c2", 2, "Output the table only.")], "chunk_id string, page int, normalized_text string")
+    hits = spark.createDataFrame([("a", "c1"), ("b", "c1")], "query_id string, id string")
+    case = lambda *rows: spark.createDataFrame(list(rows), "case_id string, passages array<string>, absent string, absence_pages array<int>")
+    gate = lambda cases: R.golden_results(cases, hits, records, arrow.text_contains).first()
+    assert tuple(gate(case(("a", ["fee-related  EARNINGS"], "table only", [1]), ("b", ["$345 million"], None, None)))) == (1.0, 2, True)
+    assert gate(case(("a", ["fee-related earnings"], "table only", None))).holds is False and gate(case(("a", ["nowhere"], None, None))).recall == 0.0
