@@ -3,9 +3,9 @@
 Fingerprints that may be close are dealt into blocks: a fingerprint of b bit groups that differs from another in at
 most d bits agrees with it on b - d groups, so every choice of that many groups gives a key (exact); for wide
 fingerprints, bands of bits give the keys (recall as stated). In a block, each member's Hamming distances to many
-reference fingerprints (members of the block) make its row of a pivot table: members within the bound of a reference
-are linked to it at once; of the rest, a pair whose rows differ by more than the bound in any coordinate is discarded
-by the triangle inequality; survivors are verified by their own distance. A block emits a spanning forest of its links,
+reference fingerprints make its row of a pivot table; a pair whose rows differ by more than the bound in any
+coordinate is discarded by the triangle inequality; survivors are verified by their own distance. References are fixed
+ones, and in blocks of more than a dozen members of the block: members near one are linked to it at once. A block emits a spanning forest of its links,
 never all pairs. Blocks above LIMIT are cut into tiles, and every pair of tiles is one task's work.
 """
 
@@ -103,12 +103,22 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def block_links(prints: np.ndarray, bound: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of all links of a block. prints: members by words. left: which of two tiles each member is of, or None."""
+def reference_table(prints: np.ndarray) -> np.ndarray:
+    """Distances of each member to REFERENCES fixed reference fingerprints, made by rule."""
+    fixed = np.array([[_multiplier(1 << 20 | r * prints.shape[1] + w) for w in range(prints.shape[1])] for r in range(REFERENCES)], np.uint64)
+    return np.stack([_distance(prints, f[None, :]) for f in fixed], axis=1).astype(np.int16)
+
+
+def _near_pairs(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, bound: int) -> np.ndarray:
+    """Which of the pairs (a, b) are links: those whose table rows differ too much in a coordinate go unseen."""
+    kept = np.flatnonzero((np.abs(table[a] - table[b]) <= bound).all(axis=1))
+    return kept[_distance(prints[a[kept]], prints[b[kept]]) <= bound]
+
+
+def block_links(prints: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """A spanning forest of all links of a block. prints: members by words; the references are members."""
     n = len(prints)
     forest, out = _Forest(n), []
-    if n == 2:
-        return [(0, 1)] if _distance(prints[0], prints[1]) <= bound else []
     table = np.zeros((n, min(REFERENCES, n)), np.int16)
     for r in range(table.shape[1]):  # references: members spread over the block
         at = r * n // table.shape[1]
@@ -153,10 +163,11 @@ def _linker(words: int, bound: int):
             sizes = np.diff(np.append(cut, len(keys)))
             a_out, b_out = [], []
             small = (sizes > 1) & (sizes <= 12)
+            table = reference_table(prints) if small.any() else None
             for size in np.unique(sizes[small]):
                 at = cut[sizes == size]
                 for x, y in itertools.combinations(range(size), 2):
-                    near = _distance(prints[at + x], prints[at + y]) <= bound
+                    near = _near_pairs(prints, table, at + x, at + y, bound)
                     a_out.append(nodes[at[near] + x])
                     b_out.append(nodes[at[near] + y])
             for at, size in zip(cut[sizes > 12].tolist(), sizes[sizes > 12].tolist()):
