@@ -317,7 +317,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each class: that of the smallest doc_id. Rows with a null id stay; all columns stay."""
     classes = materialise(near_classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
     gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")  # ids of copies grow with the corpus: one plan at every size
     repeated = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
