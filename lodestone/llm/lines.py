@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are near when one word inserted, deleted or replaced makes them equal. A line's neighbourhood is the line
-itself and the line without each of its words; lines within the bound share a variant. Lines of fewer than LEAST_WORDS
-words are near equal ones only. Variants are hashed with the
-place of the missing word: lines that agree on (variant, place) differ in that word alone, so each group needs its
-earliest line only and no pairs are formed. A line goes when an earlier line is equal or near. DataFrame functions only.
+Two lines are near when one word inserted, deleted or replaced makes them equal; words are what single spaces
+separate. A line's neighbourhood is the line without each of its words, and the line with a gap at each place; lines
+within the bound share a variant at the same place: replaced words two deletions, an inserted word a deletion and a
+gap. A variant is hashed as (hash of the words before the place, hash of the words after it), so each group needs its
+earliest deletion and its earliest gap only and no pairs are formed. A line goes when an earlier line is equal or near.
+Lines of fewer than LEAST_WORDS words are near equal ones only. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,42 +20,47 @@ SEED, LEAST_WORDS = 7, 5
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line_no, line: non-empty lines in order. doc is (doc_id, hash of the text): repeated rows are one document."""
-    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"\S"))
+    """place (doc_id, hash of the text, line number) and line of each non-blank line. Repeated rows are one document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    return rows.where(F.trim("line") != "").select(F.struct("doc_id", "text_hash", "line_no").alias("place"), "line")
 
 
-def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0))
+def halves(line: Column) -> Column:
+    """Hashes of which near lines share one: the first and the last words, floor(n / 2) and floor((n - 1) / 2) of them.
 
-
-def _hash(words: Column) -> Column:
-    return F.xxhash64(words, F.size(words))
-
-
-def halves(words: Column) -> Column:
-    """Hashes of which near lines share one: the first and last floor(n/2) words, and these for n - 1 and n + 1 words.
-
-    A change of one word leaves the shorter line's first or last half as it was, up to one word of its length.
+    A change of one word leaves the shorter line's first or last floor(n / 2) words as they were, and the longer line
+    takes as many from that end.
     """
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        head = lambda k: F.xxhash64(F.lit(0), k, F.slice(w, F.lit(1), F.greatest(k, F.lit(0))))
-        tail = lambda k: F.xxhash64(F.lit(1), k, F.slice(w, F.least(n - k + 1, F.greatest(n, F.lit(1))), F.greatest(k, F.lit(0))))
+    def of(n: Column) -> Column:
+        head = lambda k: F.xxhash64(F.lit(0), k, F.call_function("substring_index", line, F.lit(" "), k))
+        tail = lambda k: F.xxhash64(F.lit(1), k, F.call_function("substring_index", line, F.lit(" "), -k))
         low, high = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-        return F.when(n >= LEAST_WORDS, F.array_distinct(F.array(head(low), tail(low), head(high), tail(high)))).otherwise(F.array().cast("array<bigint>"))
+        both = F.when(low == high, F.array(head(low), tail(low))).otherwise(F.array(head(low), tail(low), head(high), tail(high)))
+        return F.when(n >= LEAST_WORDS, both).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words, of)
+    return let(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, of)
+
+
+def _running(hashes: Column) -> Column:
+    """0, then the hash of the first, of the first two, ... of all elements."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda seen, h: F.array_append(seen, F.xxhash64(F.element_at(seen, -1), h)))
 
 
 def variants(words: Column) -> Column:
-    """(variant, place) of the line without its word at each place, and place 0 for the line itself."""
+    """(variant, gap) at each place: the line without a word (gap false), and with room for one more (gap true)."""
     def of(w: Column) -> Column:
-        n = F.size(w)
-        less = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(_hash(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("variant"), i.alias("place")))
-        return F.concat(F.array(F.struct(_hash(w).alias("variant"), F.lit(0).alias("place"))), less)
+        running = F.struct(_running(w).alias("before"), _running(F.reverse(w)).alias("after"))
+        return let(running, lambda r: F.concat(_at(r, F.size(w), 1), _at(r, F.size(w), 0)))
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), of)
+
 
-    return let(words, of)
+def _at(running: Column, n: Column, removed: int) -> Column:
+    """Variants with so many words (1, or 0 for a gap) removed at each place."""
+    before, after = running["before"], running["after"]
+    return F.transform(F.sequence(F.lit(removed), n), lambda i: F.struct(
+        F.xxhash64(F.element_at(before, i - removed + 1), i - removed, F.element_at(after, n - i + 1), n - i).alias("variant"), F.lit(removed == 0).alias("gap")
+    ))
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -65,51 +71,42 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 
 def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line_no and fate ('copy' or 'near') of every line that goes."""
-    all_lines = lines_of(docs, id_col, text_col).withColumn("place", F.struct("doc", "line_no"))
-    coded = all_lines.select("place", words_of(F.col("line")).alias("words"))
-    coded = materialise(coded.select("place", _hash(F.col("words")).alias("h"), F.xxhash64(F.lit(SEED), "words").alias("h2"), halves(F.col("words")).alias("halves")), "lines")
-    distinct = coded.groupBy("h", "h2").agg(F.min("place").alias("first"), F.first("halves").alias("halves"))
-    distinct = materialise(distinct, "distinct-lines")
-    half = distinct.select(F.explode("halves").alias("half"), "h", "h2")
+    """doc_id, text_hash, line_no and fate ('copy' or 'near') of every line that goes."""
+    all_lines = lines_of(docs, id_col, text_col)
+    coded = materialise(all_lines.select("place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(SEED), "line").alias("h2"), halves(F.col("line")).alias("halves")), "lines")
+    distinct = materialise(coded.groupBy("h", "h2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "distinct-lines")
+    half = distinct.select(F.explode("halves").alias("half"), "first")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    suspects = half.join(shared, "half", "left_semi").select("h", "h2").distinct()
-    firsts = distinct.join(suspects, ["h", "h2"], "left_semi").select("h", "first")
-    texts = all_lines.join(firsts.select(F.col("first").alias("place")), "place", "left_semi")
-    near_to = materialise(texts.select("place", words_of(F.col("line")).alias("words")), "suspect-lines")
-    keyed = near_to.select("place", F.explode(variants(F.col("words"))).alias("v")).select("place", "v.variant", F.col("v.place").alias("word"))
-    groups = keyed.groupBy("variant", "word").agg(F.min("place").alias("earliest"), F.count("*").alias("n"))
-    joined_groups = groups.where((F.col("n") > 1) & (F.col("word") > 0)).select("variant", "word", "earliest")
-    whole = groups.where("word = 0").select("variant", "earliest")
-    shorter = groups.where("word > 0").groupBy("variant").agg(F.min("earliest").alias("earliest"))
-    replaced = keyed.join(joined_groups, ["variant", "word"]).select("place", "earliest")
-    inserted = keyed.where("word > 0").select("place", "variant").join(whole, "variant").select("place", "earliest")
-    deleted = keyed.where("word = 0").select("place", "variant").join(shorter, "variant").select("place", "earliest")
-    best = replaced.unionByName(inserted).unionByName(deleted).where("earliest < place").groupBy("place").agg(F.min("earliest").alias("earliest"))
-    words = near_to.select(F.col("place").alias("earliest"), F.col("words").alias("other"))
-    near = best.join(near_to, "place").join(words, "earliest").where(within_one_word(F.col("words"), F.col("other")))
+    suspects = half.join(shared, "half", "left_semi").select(F.col("first").alias("place")).distinct()
+    near_to = materialise(all_lines.join(suspects, "place", "left_semi").select("place", F.split("line", " ").alias("words")), "suspect-lines")
+    keyed = near_to.select("place", F.explode(variants(F.col("words"))).alias("v")).select("place", "v.variant", "v.gap")
+    groups = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(~F.col("gap"), F.col("place"))).alias("least"), F.min(F.when(F.col("gap"), F.col("place"))).alias("gap_least"))
+    groups = groups.where("n > 1 AND least IS NOT NULL").drop("n")
+    reached = F.when(F.col("gap"), F.col("least")).otherwise(F.least("least", "gap_least"))
+    found = keyed.join(groups, "variant").select("place", reached.alias("earliest")).where("earliest < place")
+    best = found.groupBy("place").agg(F.min("earliest").alias("earliest"))
+    other = near_to.select(F.col("place").alias("earliest"), F.col("words").alias("other"))
+    near = best.join(near_to, "place").join(other, "earliest").where(within_one_word(F.col("words"), F.col("other")))
     copies = coded.join(distinct.select("h", "h2", "first"), ["h", "h2"]).where("place > first").select("place", F.lit("copy").alias("fate"))
-    fates = copies.unionByName(near.select("place", F.lit("near").alias("fate")))
-    return fates.select("place.doc", "place.line_no", "fate")
+    return copies.unionByName(near.select("place", F.lit("near").alias("fate"))).select("place.*", "fate")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its text less the lines that an earlier document, or an earlier line of it, has already.
 
     Earlier means a smaller doc_id (null first), then a smaller line number; a near copy is one word inserted, deleted
-    or replaced, and every line (also one that goes) makes later copies go. Lines without words stay. Returns doc_id,
-    text, n_lines, n_copies and n_near; null texts stay null; fully repeated rows count as one document and all of
-    them get its result; other columns aren't read.
+    or replaced, and every line (also one that goes) makes later copies go. Blank lines stay. Returns doc_id, text,
+    n_lines, n_copies and n_near; null texts stay null; fully repeated rows count as one document and all of them get
+    its result; other columns aren't read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = line_fates(docs).groupBy("doc").agg(
-        F.collect_set("line_no").alias("gone"), F.count_if(F.col("fate") == "copy").alias("n_copies"), F.count_if(F.col("fate") == "near").alias("n_near")
-    )
-    gone = gone.select(F.col("doc.doc_id").alias("__id"), F.col("doc.text_hash").alias("__hash"), "gone", "n_copies", "n_near")
+    gone = line_fates(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+        F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("fate") == "copy", F.col("line_no"))).alias("copies")
+    )  # sets: fully repeated rows give each line more than once
     rows = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash")), "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return rows.select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("copies"), F.lit(0)).cast("long").alias("n_copies"), F.coalesce(F.size("gone") - F.size("copies"), F.lit(0)).cast("long").alias("n_near"),
     )
