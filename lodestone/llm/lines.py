@@ -79,14 +79,16 @@ def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     suspects = half.join(shared, "half", "left_semi").select(F.col("first").alias("place")).distinct()
     near_to = materialise(all_lines.join(suspects, "place", "left_semi").select("place", F.split("line", " ").alias("words")), "suspect-lines")
-    keyed = near_to.select("place", F.explode(variants(F.col("words"))).alias("v")).select("place", "v.variant", "v.gap")
-    groups = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(~F.col("gap"), F.col("place"))).alias("least"), F.min(F.when(F.col("gap"), F.col("place"))).alias("gap_least"))
+    ranged = near_to.repartitionByRange("place").sortWithinPartitions("place")
+    near_to = materialise(ranged.withColumn("nth", F.monotonically_increasing_id()), "suspect-order")  # nth: a number in the order of places
+    keyed = near_to.select("nth", F.explode(variants(F.col("words"))).alias("v")).select("nth", "v.variant", "v.gap")
+    groups = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(~F.col("gap"), F.col("nth"))).alias("least"), F.min(F.when(F.col("gap"), F.col("nth"))).alias("gap_least"))
     groups = groups.where("n > 1 AND least IS NOT NULL").drop("n")
     reached = F.when(F.col("gap"), F.col("least")).otherwise(F.least("least", "gap_least"))
-    found = keyed.join(groups, "variant").select("place", reached.alias("earliest")).where("earliest < place")
-    best = found.groupBy("place").agg(F.min("earliest").alias("earliest"))
-    other = near_to.select(F.col("place").alias("earliest"), F.col("words").alias("other"))
-    near = best.join(near_to, "place").join(other, "earliest").where(within_one_word(F.col("words"), F.col("other")))
+    found = keyed.join(groups, "variant").select("nth", reached.alias("earliest")).where("earliest < nth")
+    best = found.groupBy("nth").agg(F.min("earliest").alias("earliest"))
+    other = near_to.select(F.col("nth").alias("earliest"), F.col("words").alias("other"))
+    near = best.join(near_to, "nth").join(other, "earliest").where(within_one_word(F.col("words"), F.col("other")))
     copies = coded.join(distinct.select("h", "h2", "first"), ["h", "h2"]).where("place > first").select("place", F.lit("copy").alias("fate"))
     return copies.unionByName(near.select("place", F.lit("near").alias("fate"))).select("place.*", "fate")
 
