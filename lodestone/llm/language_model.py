@@ -8,10 +8,11 @@ each document's; nothing is collected, and a partition's size follows the number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +33,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Block:
     """Words of a block's documents as numbers, and its distinct n-grams of every order with their places."""
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: pa.ChunkedArray, order: int):
         numbers: dict[bytes, int] = {}
-        per, sizes = [], []
+        per, sizes = array("i"), []
         for text in texts:
-            words = text.lower().split()
+            words = text.as_py().encode().lower().split()
             sizes.append(len(words))
-            per += [numbers.setdefault(w, len(numbers)) for w in words]
+            per.extend([numbers.setdefault(w, len(numbers)) for w in words])
         self.sizes = np.array(sizes, np.int64)
-        ids = np.array(per, np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        ids = np.frombuffer(per, np.int32).astype(np.int64) if per else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
         starts = np.cumsum(self.sizes) - self.sizes
         self.nth = np.arange(len(ids)) - starts[self.owner] if len(ids) else np.zeros(0, np.int64)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in numbers), np.uint64, len(numbers))
@@ -60,18 +61,16 @@ class Block:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """doc_id, text and block of each row, dealt out by block, and the number of blocks."""
+    """doc_id, text, text_hash and block of each row, dealt out by block, and the number of blocks."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(parts)).cast("int")).repartition(parts, "block"), parts
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(parts)).cast("int")).repartition(parts, "block"), parts
 
 
-def _texts(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+def _in_order(table: pa.Table) -> pa.Table:
     """The block's rows in a fixed order, so that both uses of a block number its n-grams alike."""
-    texts = [t.encode() for t in table.column("text").to_pylist()]
-    ids = table.column("doc_id").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-    return table.take(order), [texts[i] for i in order]
+    return table.take(pc.sort_indices(table.select(["doc_id", "text_hash"]), sort_keys=[("doc_id", "ascending"), ("text_hash", "ascending")]))
 
 
 def document_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,8 +86,7 @@ def document_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     n_words = docs.agg(F.sum(words_in(F.col(text_col)))).first()[0] or 0
 
     def grams(table: pa.Table) -> pa.Table:
-        _, texts = _texts(table)
-        block = Block(texts, order)
+        block = Block(_in_order(table).column("text"), order)
         number = table.column("block")[0].as_py()
         out: dict[str, list] = {"block": [], "n": [], "part": [], "hashes": [], "counts": []}
         for n in range(order):
@@ -127,8 +125,8 @@ def document_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
-        table, texts = _texts(left)
-        block = Block(texts, order)
+        table = _in_order(left)
+        block = Block(table.column("text"), order)
         sent = {(n, p): t for n, p, t in zip(*(right.column(c).to_pylist() for c in ("n", "part", "totals")))}
         totals = []
         for n in range(order):
@@ -149,7 +147,7 @@ def document_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
             seen = np.where(here, totals[n][at[n]] - 1, 0) if len(totals[n]) else np.zeros(len(c), np.int64)
             context = np.concatenate([[1], totals[n - 1][at[n - 1][:-1]] - 1]) if len(c) else c
             value = np.where(here & (seen > 0), seen / np.maximum(context, 1), np.where(here, backoff * value, value))
-        sums = np.bincount(block.owner, np.log(value), len(texts)) if len(c) else np.zeros(len(texts))
+        sums = np.bincount(block.owner, np.log(value), table.num_rows) if len(c) else np.zeros(table.num_rows)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(block.sizes), "log_score": pa.array(sums)})
 
     sent = rows.groupBy("block").applyInArrow(grams, "block int, n int, part int, hashes binary, counts binary")
