@@ -2,7 +2,7 @@
 
 Fingerprints that may be close are dealt into blocks: a fingerprint of b bit groups that differs from another in at
 most d bits agrees with it on b - d groups, so every choice of that many groups gives a key (exact); for wide
-fingerprints, bands of bits give the keys (recall as stated). In a block, each member's Hamming distances to many
+fingerprints, bands of bits give the keys (recall as stated), links only propose, and shared shingles decide. In a block, each member's Hamming distances to many
 reference fingerprints make its row of a pivot table; a pair whose rows differ by more than the bound in any
 coordinate is discarded by the triangle inequality; survivors are verified by their own distance. References are fixed
 ones, and in blocks of more than a dozen members of the block: members near one are linked to it at once. A block emits a spanning forest of its links,
@@ -115,8 +115,39 @@ def _near_pairs(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndar
     return kept[_distance(prints[a[kept]], prints[b[kept]]) <= bound]
 
 
-def block_links(prints: np.ndarray, bound: int) -> list[tuple[int, int]]:
-    """A spanning forest of all links of a block. prints: members by words; the references are members."""
+def _exact_links(texts: list[str], words: int, likeness: float):
+    """A function of pairs (a, b) of texts: which of them have the likeness on the sets of their shingles (64-bit hashes)."""
+    sets = [np.unique(shingle_hashes(t.encode(), words)) for t in texts]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(known), bool)
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good = np.minimum(sizes[a], sizes[b]) >= likeness * np.maximum(sizes[a], sizes[b]) - 1e-9
+        at = np.flatnonzero(good & (sizes[a] > 0) & (sizes[b] > 0))
+        good[:] = False
+        for part in np.split(at, np.flatnonzero(np.diff(a[at])) + 1):  # pairs in a row that share a
+            for k in range(0, len(part), 1024):
+                rows = part[k : k + 1024]
+                x, y = a[rows[0]], b[rows]
+                own = codes[starts[x] : starts[x] + sizes[x]]
+                ends = np.cumsum(sizes[y])
+                places = np.arange(ends[-1]) + np.repeat(starts[y] - ends + sizes[y], sizes[y])
+                marked[own] = True
+                common = np.add.reduceat(marked[codes[places]], ends - sizes[y], dtype=np.int64)
+                marked[own] = False
+                good[rows] = common >= likeness * (sizes[x] + sizes[y] - common) - 1e-9
+        return good
+
+    return run
+
+
+def block_links(prints: np.ndarray, bound: int, exact=None) -> list[tuple[int, int]]:
+    """A spanning forest of all links of a block. prints: members by words; the references are members.
+
+    exact: a function of two arrays of members, which of these pairs are links; without it the bound decides.
+    """
     n = len(prints)
     forest, out = _Forest(n), []
     table = np.zeros((n, min(REFERENCES, n)), np.int16)
@@ -124,6 +155,9 @@ def block_links(prints: np.ndarray, bound: int) -> list[tuple[int, int]]:
         at = r * n // table.shape[1]
         table[:, r] = _distance(prints, prints[at][None, :])
         near = np.flatnonzero(table[:, r] <= bound)
+        if exact:
+            near = near[forest.root[near] != forest.root[at]]
+            near = near[exact(np.full(len(near), at), near)]
         out += forest.join(np.full(len(near), at), near)
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0]
@@ -147,31 +181,39 @@ def block_links(prints: np.ndarray, bound: int) -> list[tuple[int, int]]:
             a, b = a[keep], b[keep]
         if len(a):
             keep = _distance(prints[a], prints[b]) <= bound
-            out += forest.join(a[keep], b[keep])
+            a, b = a[keep], b[keep]
+            if exact:
+                keep = exact(a, b)
+                a, b = a[keep], b[keep]
+            out += forest.join(a, b)
         start = min(stop, n)
     return out
 
 
-def _linker(words: int, bound: int):
-    """Arrow kernel over rows sorted by key: node, key, p0 .. p(words - 1). Small blocks are compared together, larger ones each by itself."""
+def _linker(words: int, bound: int, exact: tuple[int, float] | None = None):
+    """Arrow kernel over rows sorted by key: node, key, p0 .. p(words - 1), and with exact (words of a shingle, likeness), text. Small blocks are compared together, larger ones each by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def emit(keys, nodes, prints) -> Iterator[pa.RecordBatch]:
+        def emit(keys, nodes, prints, *texts) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             sizes = np.diff(np.append(cut, len(keys)))
             a_out, b_out = [], []
             small = (sizes > 1) & (sizes <= 12)
             table = reference_table(prints) if small.any() else None
+            within = lambda rows: _exact_links(texts[0][rows].tolist(), *exact)
+            decide = within(slice(None)) if exact and small.any() else None
             for size in np.unique(sizes[small]):
                 at = cut[sizes == size]
                 for x, y in itertools.combinations(range(size), 2):
                     near = _near_pairs(prints, table, at + x, at + y, bound)
+                    if exact:
+                        near = near[decide(at[near] + x, at[near] + y)]
                     a_out.append(nodes[at[near] + x])
                     b_out.append(nodes[at[near] + y])
             for at, size in zip(cut[sizes > 12].tolist(), sizes[sizes > 12].tolist()):
-                links = block_links(prints[at : at + size], bound)
+                links = block_links(prints[at : at + size], bound, within(slice(at, at + size)) if exact else None)
                 if links:
                     pairs = np.array(links) + at
                     a_out.append(nodes[pairs[:, 0]])
@@ -188,24 +230,31 @@ def _linker(words: int, bound: int):
             whole = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
             keys = np.stack([whole("k0"), whole("k1")], 1)
             prints = np.stack([whole(f"p{k}").view(np.uint64) for k in range(words)], 1)
-            held.append((keys, whole("node"), prints))
-            keys, nodes, prints = (np.concatenate(x) for x in zip(*held))
+            texts = [np.array(batch.column("text").to_pylist(), object)] if exact else []
+            held.append((keys, whole("node"), prints, *texts))
+            rows = [np.concatenate(x) for x in zip(*held)]
+            keys = rows[0]
             other = np.flatnonzero((keys != keys[-1]).any(axis=1))
             done = other[-1] + 1 if len(other) else 0
             if done:
-                yield from emit(keys[:done], nodes[:done], prints[:done])
-            held = [(keys[done:], nodes[done:], prints[done:])]
+                yield from emit(*(x[:done] for x in rows))
+            held = [tuple(x[done:] for x in rows)]
         if held:
             yield from emit(*held[0])
 
     return run
 
 
-def _links_by_key(keyed: DataFrame, words: int, bound: int) -> DataFrame:
-    """Links (a, b) in all blocks. keyed: node, key, p0 ...; blocks above LIMIT are cut into tiles, every two of which meet."""
+def _links_by_key(keyed: DataFrame, words: int, bound: int, exact: tuple[int, float] | None = None) -> DataFrame:
+    """Links (a, b) in all blocks. keyed: node, key, p0 ...; blocks above LIMIT are cut into tiles, every two of which meet.
+
+    With exact (words of a shingle, likeness), keyed has the text too, and pairs within the bound are links only if
+    their shingles say so; blocks hold texts then and are cut above a quarter of LIMIT.
+    """
+    limit = LIMIT // 4 if exact else LIMIT
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    over = sizes.where(F.col("n") > LIMIT).withColumn("tiles", F.ceil(F.col("n") / (LIMIT // 2)).cast("int")).drop("n")
-    prints = [f"p{k}" for k in range(words)]
+    over = sizes.where(F.col("n") > limit).withColumn("tiles", F.ceil(F.col("n") / (limit // 2)).cast("int")).drop("n")
+    prints = [f"p{k}" for k in range(words)] + (["text"] if exact else [])
     if over.isEmpty():
         dealt = keyed.select("node", F.col("key").alias("k0"), F.lit(0).cast("long").alias("k1"), *prints)
     else:
@@ -214,9 +263,9 @@ def _links_by_key(keyed: DataFrame, words: int, bound: int) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(tile, t) * F.lit(1 << 20) + F.greatest(tile, t))
         ones = F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
         dealt = tiled.select("node", F.col("key").alias("k0"), F.explode(ones).alias("k1"), *prints)
-    small_batches(keyed.sparkSession, 20_000)
+    small_batches(keyed.sparkSession, 1000 if exact else 20_000)
     ready = dealt.repartition("k0", "k1").sortWithinPartitions("k0", "k1")
-    return ready.mapInArrow(_linker(words, bound), "a long, b long").distinct()
+    return ready.mapInArrow(_linker(words, bound, exact), "a long, b long").distinct()
 
 
 def group_keys(value: Column, bound: int, groups: int) -> Column:
@@ -266,8 +315,11 @@ def near_components(docs: DataFrame, words: int = 4, bound: int = 4, id_col: str
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, bits in a band, words that verify a pair.
-WIDE_WORDS, BAND_BITS, CHECK_WORDS = 12, 16, 6
+#: Wide fingerprints: words of 64 bits, bits in a band, bits from a band's start to the next one's, words that bands compare.
+WIDE_WORDS, BAND_BITS, BAND_STEP, BAND_WORDS = 12, 16, 8, 4
+#: Standard errors that a proposed pair may be above the likeness: also covers the ties of short texts (3 / 16 of the bits
+#: differ between five shingles and four of them) by four of their own.
+LOOSE = 7.0
 
 
 def likeness_bound(likeness: float, bits: int, slack: float = 0.7) -> int:
@@ -277,6 +329,11 @@ def likeness_bound(likeness: float, bits: int, slack: float = 0.7) -> int:
     return int(np.floor(bits * share + slack * np.sqrt(bits * share * (1 - share))))
 
 
+def _node(text: bytes) -> int:
+    """A hash of the text's words in lower case: equal ones have equal shingles."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7)
+
+
 def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count: int = WIDE_WORDS) -> DataFrame:
     """node (a hash of the distinct shingles' source, the text's words), doc_id and count fingerprint words of each row."""
     small_batches(docs.sparkSession)
@@ -284,7 +341,7 @@ def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in texts], np.uint64)
+            nodes = np.array([_node(t) for t in texts], np.uint64)
             found = np.stack([wide_fingerprint(np.unique(shingle_hashes(t, words)), count) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(nodes), *[_signed(found[:, k]) for k in range(count)]], names=["doc_id", "node", *[f"p{k}" for k in range(count)]])
 
@@ -292,21 +349,48 @@ def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count:
     return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"p{k} long" for k in range(count)))
 
 
+def with_node(docs: DataFrame, text_col: str) -> DataFrame:
+    """node (as in wide_prints) and text of each row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = np.array([_node(t.encode()) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([_signed(nodes), batch.column("text")], names=["node", "text"])
+
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "node long, text string")
+
+
+def band_keys(columns: list[str]) -> list[Column]:
+    """A key for each band of BAND_BITS bits of the words, from every BAND_STEP-th bit on; the last ones go on in the first word."""
+    keys, mask = [], F.lit((1 << BAND_BITS) - 1)
+    for k, start in enumerate(range(0, 64 * len(columns), BAND_STEP)):
+        word, bit = divmod(start, 64)
+        band = F.shiftrightunsigned(columns[word], bit)
+        if bit + BAND_BITS > 64:
+            band = band.bitwiseOR(F.shiftleft(columns[(word + 1) % len(columns)], 64 - bit))
+        keys.append(F.xxhash64(F.lit(k), band.bitwiseAND(mask)))
+    return keys
+
+
 def near_classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id (its smallest doc_id) by SimHash likeness over shingles of so many words, closed over chains.
+    """doc_id and class_id (its smallest doc_id) by likeness of the sets of shingles of so many words, closed over chains.
 
-    Fingerprints have 64 * WIDE_WORDS bits; pairs that agree on a band of BAND_BITS bits are compared on CHECK_WORDS
-    words. At likeness 0.8 a band agrees with probability 0.85 ** 16, one of 48 with 0.97. Texts without words are one
-    class. Null and repeated ids as in near_components.
+    Fingerprints only propose: nodes that agree on a band of BAND_BITS bits (bands overlap by half) and are within a
+    loose bound on BAND_WORDS words make groups; inside a group every pair within the loose bound on all WIDE_WORDS
+    words is decided by the exact Jaccard likeness of its shingles. So no pair below the likeness is linked; a lone pair
+    right at 0.8 goes unproposed where no band agrees (rates in README). Texts without words are one class. Null and
+    repeated ids as in near_components.
     """
     prints = materialise(wide_prints(docs, words, id_col, text_col), "wide-fingerprints")
     columns = [f"p{k}" for k in range(WIDE_WORDS)]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in columns])
     nodes = materialise(nodes, "distinct-texts")
-    per = 64 // BAND_BITS
-    bands = [F.xxhash64(F.lit(k * per + j), F.shiftrightunsigned(c, j * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))) for k, c in enumerate(columns) for j in range(per)]
-    keyed = nodes.select("node", *columns[:CHECK_WORDS], F.explode(F.array(*bands)).alias("key"))
-    found = components(_links_by_key(keyed, CHECK_WORDS, likeness_bound(likeness, 64 * CHECK_WORDS)))
+    keyed = nodes.select("node", *columns[:BAND_WORDS], F.explode(F.array(*band_keys(columns))).alias("key"))
+    groups = components(_links_by_key(keyed, BAND_WORDS, likeness_bound(likeness, 64 * BAND_WORDS, LOOSE)))
+    texts = with_node(docs, text_col).join(groups, "node").dropDuplicates(["node"])
+    suspects = materialise(nodes.select("node", *columns).join(texts.withColumnRenamed("component", "key"), "node"), "suspects")
+    found = components(_links_by_key(suspects, WIDE_WORDS, likeness_bound(likeness, 64 * WIDE_WORDS, LOOSE), (words, likeness)))
     placed = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = placed.groupBy("component").agg(F.min("low").alias("class_id"))
     ids = placed.join(lows, "component").select("node", "class_id")

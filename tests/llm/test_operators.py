@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -297,6 +298,38 @@ def test_one_of_each_keeps_unlike_texts(edge, documents):
     assert {d for ds in exact.values() for d in sorted(ds)[1:]} <= gone
 
 
+def test_near_classes_are_decided_by_shingles(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for size, changed, added in [(100, k, 0) for k in (5, 8, 10, 11, 13, 16)] + [(24, 0, 5), (24, 0, 6), (84, 0, 20), (84, 0, 21)]:
+        for _ in range(30):
+            one = [word() for _ in range(size)]
+            texts += [one, one[: size - changed] + [word() for _ in range(changed + added)]]
+    base = [word() for _ in range(100)]
+    texts += [base[:-k] + [word() for _ in range(k)] for k in [3] * 15 + [9] * 15]  # a block of near and less near copies
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    of = _closure(list(range(len(texts))), lambda a, b: _jaccard(sets[a], sets[b]) >= 0.8)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in simhash.near_classes(df).collect()}
+    low = {}
+    for i in range(len(texts)):
+        low.setdefault(of[i], i)
+    assert [i for i in got if got[i] not in (i, low[of[i]])] == []  # no false link
+    assert sum(got[i] != low[of[i]] for i in got) <= 2  # of 180 pairs at 0.8 or more
+
+
+@pytest.mark.parametrize("limit", [8192, 16, 64])
+def test_tiles_of_near_copies(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(104)]
+    texts = [base[:-k] + [f"x{rng.randrange(10**9)}" for _ in range(k)] for k in [6] * 30 + [20] * 10]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in simhash.near_classes(df).collect()}
+    assert got == {i: 0 if i < 30 else i for i in range(40)}
+
+
 # 6: sharding
 
 
