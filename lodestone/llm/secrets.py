@@ -55,7 +55,7 @@ def _near(part: Span, others: list[Span], starts: list[int], longest: int, cuts:
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts whose complement lies in reach: identifiers with secrets, secrets with identifiers or endpoints, endpoints with secrets."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and not any(s[2] == "access" for s in base):
         return []
     cover = lambda m, kind: (m.start(), m.end(), kind)
     identifiers = [cover(m, "identifier") for m in IDENTIFIER.finditer(text)]
