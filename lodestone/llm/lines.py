@@ -79,7 +79,7 @@ def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     suspects = half.join(shared, "half", "left_semi").select(F.col("first").alias("place")).distinct()
     near_to = materialise(all_lines.join(suspects, "place", "left_semi").select("place", F.split("line", " ").alias("words")), "suspect-lines")
-    ranged = near_to.repartitionByRange("place").sortWithinPartitions("place")
+    ranged = near_to.repartitionByRange("place").dropDuplicates(["place"]).sortWithinPartitions("place")  # repeated rows give a place more than once
     near_to = materialise(ranged.withColumn("nth", F.monotonically_increasing_id()), "suspect-order")  # nth: a number in the order of places
     keyed = near_to.select("nth", F.explode(variants(F.col("words"))).alias("v")).select("nth", "v.variant", "v.gap")
     groups = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(~F.col("gap"), F.col("nth"))).alias("least"), F.min(F.when(F.col("gap"), F.col("nth"))).alias("gap_least"))

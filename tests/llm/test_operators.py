@@ -377,6 +377,13 @@ def test_equal_texts_stay_together(spark):
 # 7: lines
 
 
+def test_a_repeated_row_keeps_a_line_that_it_has_first(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f h\nother words stand here now"), (1, "a b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_copies, r.n_near) for r in lines.dedup_lines(df).collect())
+    assert got == [(1, "a b c d e f g", 1, 0, 0)] * 3 + [(2, "other words stand here now", 2, 0, 1)]
+
+
 def _near(a, b):
     if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < lines.LEAST_WORDS:
         return False
