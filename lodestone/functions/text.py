@@ -171,10 +171,22 @@ def query_phrases(query: str) -> list[str]:
     return re.findall(r"[\w.$%+-]+", query)[:MOST_QUERY_TOKENS]
 
 
+class _Bare(dict):
+    """Code point to what the index keeps of it: Latin letters lose their diacritics, marks by themselves go, as in FTS5's unicode61."""
+
+    def __missing__(self, n: int) -> str:
+        c = chr(n)
+        parts = unicodedata.normalize("NFD", c)
+        self[n] = parts[0] if len(parts) > 1 and "a" <= parts[0] <= "z" else "" if unicodedata.combining(c) else c
+        return self[n]
+
+
+_BARE = _Bare()
+
+
 def index_words(text: str) -> list[str]:
-    """Words of the lexical index: runs of letters and digits, lower case, diacritics removed."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return WORD.findall(bare)
+    """Words of the lexical index: runs of letters and digits, lower case, diacritics of Latin letters removed."""
+    return WORD.findall(text.lower().translate(_BARE))
 
 
 def search_signature(query: str, metric: str | None, mode: str, top_k: int, documents: list[str] | None, date_from: str | None, date_to: str | None) -> str:

@@ -26,12 +26,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"previous_chunk_id": F.lag("chunk_id").over(order), "next_chunk_id": F.lead("chunk_id").over(order)})
 
 
-def query_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_phrases(spark: SparkSession, sf_dir: str, words=retrieval.native_words) -> DataFrame:
     """Of each benchmark item: its first three words as phrases of one word, and its first two as one phrase."""
-    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.native_words(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     one = lambda i: F.array(F.element_at("w", i))
     phrases = F.array(one(1), one(2), one(3), F.slice("w", 1, 2))
-    return words.select("query_id", F.posexplode(phrases).alias("phrase_no", "words"))
+    return items.select("query_id", F.posexplode(phrases).alias("phrase_no", "words"))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str, modulus: int = 50) -> DataFrame:

@@ -92,3 +92,47 @@ def test_golden_gate(spark):
     gate = lambda cases: R.golden_results(cases, hits, records, arrow.text_contains).first()
     assert tuple(gate(case(("a", ["fee-related  EARNINGS"], "table only", [1]), ("b", ["$345 million"], None, None)))) == (1.0, 2, True)
     assert gate(case(("a", ["fee-related earnings"], "table only", None))).holds is False and gate(case(("a", ["nowhere"], None, None))).recall == 0.0
+
+
+LANGUAGES = (
+    "Le café de l’été était fermé après la fête à Besançon", "Die größten Straßen führen über Köln und Düsseldorf nach München", "El niño pequeño comió una piña en el jardín de la montaña",
+    "The naïve river café ran over old stones", "Le cafe de l'ete etait grand", "Ein Müller und ein Muller in Köln", "Россия и ёлка, Αθήνα 中文", "El jardín del niño y la montaña, otra vez el jardín del niño",
+)
+
+
+def test_unicode_queries_are_those_of_fts5(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    items = ["été était fermé", "größten Straßen führen", "niño pequeño comió", "jardín del niño", "the naïve river", "Россия и ёлка"]
+    spark.createDataFrame(list(enumerate(LANGUAGES)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='unicode61 remove_diacritics 2')")
+    db.executemany("INSERT INTO f (rowid, text) VALUES (?, ?)", enumerate(LANGUAGES))
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, row)")
+    assert {(r.token, r.n_docs, r.occurrences) for r in run("postings_stats_unicode")} == set(db.execute("SELECT term, doc, cnt FROM v"))
+    ranks, holds = {}, set()
+    for q, text in enumerate(items):
+        a, b, c = text.split()
+        match = f'"{a}" OR "{b}" OR "{c}" OR "{a} {b}"'
+        for n, (i, score) in enumerate(db.execute("SELECT rowid, bm25(f) AS s FROM f WHERE f MATCH ? ORDER BY round(s, 9), rowid LIMIT 8", (match,))):
+            ranks[q, i] = n + 1, round(score, 5)
+        holds |= {(q, i) for (i,) in db.execute("SELECT rowid FROM f WHERE f MATCH ?", (f'"{a} {b}"',))}
+    got = {(r.query_id, r.id): (r.rank, r.score) for r in run("bm25_topk_unicode")}
+    assert got.keys() == ranks.keys() and all(got[k][0] == ranks[k][0] and abs(got[k][1] - ranks[k][1]) < 2e-5 for k in got)
+    assert {(r.query_id, r.id) for r in run("phrase_scan_unicode")} == holds
+    assert {r.query_id: r.candidates for r in run("exact_scan_guard_unicode")} == {q: sum(k == q for k, _ in holds) for q, _ in holds}
+
+
+def test_unicode_words_of_documents_are_those_of_fts5(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='unicode61 remove_diacritics 2')")
+    db.executemany("INSERT INTO f VALUES (?)", [(t,) for t in texts])
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, row)")
+    want = {}
+    for t in texts:
+        for w in T.index_words(t):
+            want[w] = want.get(w, 0) + 1
+    assert want == dict(db.execute("SELECT term, cnt FROM v"))
