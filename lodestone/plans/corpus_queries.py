@@ -89,6 +89,12 @@ def normalized_documents(spark, sf):
     return docs.select("doc_id", arrow.normalize_evidence("text").alias("normalized"))
 
 
+@query("normalized_all_documents")
+def normalized_all_documents(spark, sf):
+    """Documents of every language, those too that the SQL of normalized_documents leaves out."""
+    return table(spark, sf, "documents").select("doc_id", arrow.normalize_evidence("text").alias("normalized"))
+
+
 @query("chunk_counts")
 def chunk_counts(spark, sf):
     return chunk_records(spark, sf).groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("token_estimate").alias("tokens"), F.max("token_estimate").alias("largest"))
