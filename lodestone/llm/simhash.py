@@ -334,8 +334,12 @@ def _node(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7)
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count: int = WIDE_WORDS) -> DataFrame:
-    """node (a hash of the distinct shingles' source, the text's words), doc_id and count fingerprint words of each row."""
+    """doc_id, text_hash, node (a hash of the distinct shingles' source, the text's words) and count fingerprint words of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,10 +347,10 @@ def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             nodes = np.array([_node(t) for t in texts], np.uint64)
             found = np.stack([wide_fingerprint(np.unique(shingle_hashes(t, words)), count) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(nodes), *[_signed(found[:, k]) for k in range(count)]], names=["doc_id", "node", *[f"p{k}" for k in range(count)]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _signed(nodes), *[_signed(found[:, k]) for k in range(count)]], names=["doc_id", "text_hash", "node", *[f"p{k}" for k in range(count)]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"p{k} long" for k in range(count)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, " + ", ".join(f"p{k} long" for k in range(count)))
 
 
 def with_node(docs: DataFrame, text_col: str) -> DataFrame:
@@ -382,6 +386,11 @@ def near_classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col:
     right at 0.8 goes unproposed where no band agrees (rates in README). Texts without words are one class. Null and
     repeated ids as in near_components.
     """
+    return _classes(docs, words, likeness, id_col, text_col).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_classes with each row's text_hash and its class's own number, class."""
     prints = materialise(wide_prints(docs, words, id_col, text_col), "wide-fingerprints")
     columns = [f"p{k}" for k in range(WIDE_WORDS)]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in columns])
@@ -393,16 +402,24 @@ def near_classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col:
     found = components(_links_by_key(suspects, WIDE_WORDS, likeness_bound(likeness, 64 * WIDE_WORDS, LOOSE), (words, likeness)))
     placed = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = placed.groupBy("component").agg(F.min("low").alias("class_id"))
-    ids = placed.join(lows, "component").select("node", "class_id")
-    return prints.select("doc_id", "node").join(ids, "node").select("doc_id", "class_id")
+    ids = placed.join(lows, "component").select("node", "class_id", F.col("component").alias("class"))
+    return prints.select("doc_id", "text_hash", "node").join(ids, "node").select("doc_id", "text_hash", "class", "class_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id. Rows with a null id stay; all columns stay."""
-    classes = materialise(near_classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")  # ids of copies grow with the corpus: one plan at every size
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    """docs with one row of each class: that of the smallest doc_id, and of the smallest text hash among rows of this id.
+
+    Rows with a null id stay; of fully repeated rows (id and text) one; rows of one id with unlike texts count each by
+    itself. All columns stay.
+    """
+    classes = materialise(_classes(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null"), "classes")
+    chosen = classes.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("chosen"))
+    others = classes.join(chosen, "class").where(F.struct("doc_id", "text_hash") != F.col("chosen"))
+    gone = others.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
+    own = _text_hash(text_col)
+    kept = docs.join(gone.hint("merge"), (docs[id_col] == gone["__gone"]) & (own == gone["__gone_hash"]), "left_anti")  # ids of copies grow with the corpus: one plan at every size
+    repeated = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
-    return kept.withColumn("__null", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).dropDuplicates([id_col, "__null"]).drop("__null")
+    kept = kept.withColumns({"__hash": own, "__null": F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())})
+    return kept.dropDuplicates([id_col, "__hash", "__null"]).drop("__hash", "__null")

@@ -308,6 +308,13 @@ def test_one_of_each_keeps_unlike_texts(edge, documents):
     assert {d for ds in exact.values() for d in sorted(ds)[1:]} <= gone
 
 
+def test_one_of_each_goes_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (7, c), (7, d), (7, d), (8, d), (None, a)], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (3, b), (7, c), (7, d), (None, a)], key=str)
+
+
 def test_near_classes_are_decided_by_shingles(spark):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**9)}"
