@@ -9,5 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
