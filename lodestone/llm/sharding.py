@@ -9,6 +9,7 @@ range is cut by the id's hash, all other groups of equal texts stay within one f
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -106,15 +107,15 @@ def choose_splitters(keyed: DataFrame, shards: int) -> Splitters:
         return Splitters([], [0], [0])
     per_byte = SAMPLES_PER_RANGE * ranges / total
     bounds = _quantiles(_sample(keyed, per_byte, 0), ranges)
-    for salt in range(1, 4):
+    for salt in itertools.count(1):
         spans = keyed.select("size", rank_in(F.col("key"), bounds, "string").alias("span")).groupBy("span")
         stats = {r.span: (r.bytes, r.n) for r in spans.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
         overfull = [k for k, (b, n) in stats.items() if n > 1 and b > 2 * total / ranges]
-        if not overfull or salt == 3:
+        if not overfull:
             break
         rows = keyed.withColumn("span", rank_in(F.col("key"), bounds, "string")).where(F.col("span").isin(overfull))
         added = _subdivide(bounds, _sample(rows, 8 * per_byte, salt), overfull, stats, total / ranges)
-        if not added - set(bounds):
+        if not added - set(bounds):  # what is left can't be cut: rows of one key
             break
         bounds = sorted(set(bounds) | added)
     sizes = [stats.get(k, (0, 0))[0] for k in range(len(bounds) + 1)]
@@ -160,7 +161,10 @@ def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
 
 
 def with_shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and a column shard. The texts aren't moved: a record's shard follows from its key."""
+    """All columns of docs and a last column shard, which takes the place of one of that name. The texts aren't moved: a
+    record's shard follows from its key. Nulls, ties, repeated rows and an empty table as in shard_records; other
+    columns pass through.
+    """
     splitters = choose_splitters(materialise(keyed_records(docs, id_col, text_col).select("key", "size"), "shard-keys"), shards)
     span = splitters.range_of(record_key(F.col(text_col), F.col(id_col)))
-    return docs.withColumn("shard", splitters.shard_of(span))
+    return docs.select(*[docs[c] for c in docs.columns if c != "shard"], splitters.shard_of(span).alias("shard"))
