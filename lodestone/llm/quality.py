@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are covered by overlapping chunks (neighbours share a filter's width, so no window is lost).
 Filters over byte windows give one value for each place; each chunk keeps every filter's maximum; the mean over chunks,
 weighted by their bytes, goes through a logistic layer into one probability. Training runs on the driver over a bounded
-number of labelled documents and chunks; scoring covers every byte of every document.
+number of labelled documents, each read whole; scoring covers every byte of every document.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from lodestone.llm.common import small_batches
 
 #: Places in a chunk, width of a filter, filters.
 CHUNK, WIDTH, FILTERS = 512, 5, 24
-#: Labelled documents to learn from, at most, and chunks of each, evenly spaced.
-SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS, SEED = 4000, 4, 8, 9
+#: Labelled documents to learn from, at most; documents in a step of learning; chunks that are looked at together.
+SAMPLE_DOCS, EPOCHS, SEED, BATCH, TOGETHER = 4000, 8, 9, 32, 64
 
 
 @dataclass
@@ -85,8 +85,18 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
     return _squash(np.where(total > 0, mean, 0.0) + net.offset)
 
 
-def train(docs: list[tuple[list[bytes], int]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Learn from (chunks, label) pairs by Adam on the logistic loss. The maximum's window alone gets a gradient."""
+def _strongest(net: Network, x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk and filter: the value and the place of the maximum. A few chunks at a time, however long a text is."""
+    best, at = np.zeros((len(x), FILTERS), np.float32), np.zeros((len(x), FILTERS), np.int64)
+    for a in range(0, len(x), TOGETHER):
+        z = _convolve(net, x[a : a + TOGETHER], places[a : a + TOGETHER])
+        at[a : a + TOGETHER] = z.argmax(axis=1)
+        best[a : a + TOGETHER] = np.take_along_axis(z, at[a : a + TOGETHER, None, :], 1)[:, 0, :]
+    return best + net.bias, at
+
+
+def train(docs: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Learn from (text, label) pairs by Adam on the logistic loss. The maximum's window alone gets a gradient."""
     rng = np.random.default_rng(seed)
     net = Network((rng.normal(0, 0.25, (WIDTH, 256, FILTERS))).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS), 0.0)
     state = [[np.zeros_like(p, dtype=np.float64), np.zeros_like(p, dtype=np.float64)] for p in (net.table, net.bias, net.weight, np.zeros(1))]
@@ -109,16 +119,15 @@ def train(docs: list[tuple[list[bytes], int]], epochs: int = EPOCHS, seed: int =
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         rate = 0.02 * (1 - epoch / epochs) + 0.001
-        for a in range(0, len(order), 32):
-            batch = order[a : a + 32]
-            flat = [c for i in batch for c in docs[i][0]]
+        for a in range(0, len(order), BATCH):
+            batch = order[a : a + BATCH]
+            chunks = [chunk_bytes(docs[i][0]) for i in batch]
+            flat = [c for cs in chunks for c in cs]
             places = _places(flat)
             x = _matrix(flat)
-            z = _convolve(net, x, places)
-            at = z.argmax(axis=1)
-            best = np.take_along_axis(z, at[:, None, :], 1)[:, 0, :] + net.bias
+            best, at = _strongest(net, x, places)
             feature = np.maximum(best, 0)
-            owner = np.repeat(np.arange(len(batch)), [len(docs[i][0]) for i in batch])
+            owner = np.repeat(np.arange(len(batch)), [len(cs) for cs in chunks])
             share = places / np.maximum(np.bincount(owner, places, len(batch)), 1)[owner]
             mean = np.zeros((len(batch), FILTERS))
             np.add.at(mean, owner, share[:, None] * feature)
@@ -136,27 +145,16 @@ def train(docs: list[tuple[list[bytes], int]], epochs: int = EPOCHS, seed: int =
     return net
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> list[tuple[list[bytes], int]]:
-    """Chunks and labels of at most SAMPLE_DOCS training documents, chosen by a hash of the id."""
+def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> list[tuple[bytes, int]]:
+    """Texts and labels of at most SAMPLE_DOCS training documents, chosen by a hash of the id. An id with labels of both kinds
+    teaches nothing; of an id with several texts the first in text order teaches; the texts are read whole."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(in_training(F.col(id_col)))
-    chosen = usable.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_DOCS)
+    agreed = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).where("label = other").drop("other")
+    chosen = agreed.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_DOCS)
     rows = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = []
-            for text in batch.column("text").to_pylist():
-                chunks = chunk_bytes((text or "").encode())
-                picks = sorted({round(k * (len(chunks) - 1) / (SAMPLE_CHUNKS - 1)) for k in range(SAMPLE_CHUNKS)})
-                cuts.append([chunks[k] for k in picks])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label").cast(pa.int32()), "chunks": pa.array(cuts, pa.list_(pa.binary()))})
-
-    small_batches(docs.sparkSession)
-    found = texts.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(cut, "doc_id long, label int, chunks array<binary>").collect()
-    found.sort(key=lambda r: (r.doc_id, [bytes(c) for c in r.chunks]))
-    return [([bytes(c) for c in r.chunks], r.label) for r in found[: 2 * SAMPLE_DOCS]]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).collect()
+    return [(r.text.encode(), int(r.label)) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
 def in_training(ident):
@@ -169,7 +167,11 @@ def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
 
 
 def with_score(docs: DataFrame, net: Network, name: str = "score", text_col: str = "text") -> DataFrame:
-    """docs and each row's score; all columns pass through unchanged."""
+    """docs and each row's score, as the last column `name`, which takes the place of one of that name.
+
+    All other columns pass through unchanged; null texts are scored as empty ones, repeated rows alike; an empty table
+    gives no rows.
+    """
     small_batches(docs.sparkSession, 500)
     schema = docs.drop(name).schema.add(name, "double")
 
@@ -184,7 +186,7 @@ def with_score(docs: DataFrame, net: Network, name: str = "score", text_col: str
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
-    Null texts are scored as empty ones; null ids aren't held out and teach nothing; repeated rows score alike; without
+    Null texts are scored as empty ones; null ids aren't held out and teach nothing, nor do ids whose labels disagree; repeated rows score alike; without
     labels of both kinds the score is a constant; an empty table gives no rows; only id and text are read.
     """
     net = train_on(docs, labels, id_col=id_col, text_col=text_col)
