@@ -1,11 +1,12 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are near when one word inserted, deleted or replaced makes them equal; words are what single spaces
-separate. A line's neighbourhood is the line without each of its words, and the line with a gap at each place; lines
-within the bound share a variant at the same place: replaced words two deletions, an inserted word a deletion and a
-gap. A variant is hashed as (hash of the words before the place, hash of the words after it), so each group needs its
-earliest deletion and its earliest gap only and no pairs are formed. A line goes when an earlier line is equal or near.
-Lines of fewer than LEAST_WORDS words are near equal ones only. DataFrame functions only.
+Two lines are near when one unit inserted, deleted or replaced makes them equal and each has at least FEWEST units (one
+edit in fewer is a likeness below 0.8). Units are words, which single spaces separate; in a line of fewer than FEWEST
+words they are its characters. A line's neighbourhood is the line without each of its units, and the line with a gap at
+each place; lines within the bound share a variant at the same place: replaced units two deletions, an inserted unit a
+deletion and a gap. A variant is hashed as (hash of the units before the place, hash of the units after it), so each
+group needs its earliest deletion and its earliest gap only and no pairs are formed. A line goes when an earlier line
+is equal or near. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, materialise
 
-#: A second hash beside the first one: equal lines are told by both. Words in a line that may be near another, at least.
-SEED, LEAST_WORDS = 7, 5
+#: A second hash beside the first one: equal lines are told by both. Units in a line that may be near another, at least.
+SEED, FEWEST = 7, 5
+#: Stands before a character that is a unit, so that no word equals it.
+LETTER = "\u0001"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,20 +28,30 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.trim("line") != "").select(F.struct("doc_id", "text_hash", "line_no").alias("place"), "line")
 
 
+def n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def spaced(line: Column) -> Column:
+    """The line's units with a space between them: the line itself, or its characters where it has few words."""
+    letters = F.regexp_extract_all(F.replace(line, F.lit(" "), F.lit("\u0002")), F.lit("(?s)."), F.lit(0))
+    return F.when(n_words(line) >= FEWEST, line).otherwise(F.array_join(F.transform(letters, lambda c: F.concat(F.lit(LETTER), c)), " "))
+
+
 def halves(line: Column) -> Column:
-    """Hashes of which near lines share one: the first and the last words, floor(n / 2) and floor((n - 1) / 2) of them.
+    """Hashes of which near lines share one: the first and the last units, floor(n / 2) and floor((n - 1) / 2) of them.
 
-    A change of one word leaves the shorter line's first or last floor(n / 2) words as they were, and the longer line
-    takes as many from that end.
+    line: units with a space between them. A change of one unit leaves the shorter line's first or last floor(n / 2)
+    units as they were, and the longer line takes as many from that end.
     """
-    def of(n: Column) -> Column:
+    def of(line: Column, n: Column) -> Column:
         head = lambda k: F.xxhash64(F.lit(0), k, F.call_function("substring_index", line, F.lit(" "), k))
         tail = lambda k: F.xxhash64(F.lit(1), k, F.call_function("substring_index", line, F.lit(" "), -k))
         low, high = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
         both = F.when(low == high, F.array(head(low), tail(low))).otherwise(F.array(head(low), tail(low), head(high), tail(high)))
-        return F.when(n >= LEAST_WORDS, both).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= FEWEST, both).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, of)
+    return let(line, lambda x: let(n_words(x), lambda n: of(x, n)))
 
 
 def _running(hashes: Column) -> Column:
@@ -73,12 +86,12 @@ def within_one_word(a: Column, b: Column) -> Column:
 def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, line_no and fate ('copy' or 'near') of every line that goes."""
     all_lines = lines_of(docs, id_col, text_col)
-    coded = materialise(all_lines.select("place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(SEED), "line").alias("h2"), halves(F.col("line")).alias("halves")), "lines")
+    coded = materialise(all_lines.select("place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(SEED), "line").alias("h2"), halves(spaced(F.col("line"))).alias("halves")), "lines")
     distinct = materialise(coded.groupBy("h", "h2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "distinct-lines")
     half = distinct.select(F.explode("halves").alias("half"), "first")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     suspects = half.join(shared, "half", "left_semi").select(F.col("first").alias("place")).distinct()
-    near_to = materialise(all_lines.join(suspects, "place", "left_semi").select("place", F.split("line", " ").alias("words")), "suspect-lines")
+    near_to = materialise(all_lines.join(suspects, "place", "left_semi").select("place", F.split(spaced(F.col("line")), " ").alias("words")), "suspect-lines")
     ranged = near_to.repartitionByRange("place").dropDuplicates(["place"]).sortWithinPartitions("place")  # repeated rows give a place more than once
     near_to = materialise(ranged.withColumn("nth", F.monotonically_increasing_id()), "suspect-order")  # nth: a number in the order of places
     keyed = near_to.select("nth", F.explode(variants(F.col("words"))).alias("v")).select("nth", "v.variant", "v.gap")
@@ -96,7 +109,7 @@ def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its text less the lines that an earlier document, or an earlier line of it, has already.
 
-    Earlier means a smaller doc_id (null first), then a smaller line number; a near copy is one word inserted, deleted
+    Earlier means a smaller doc_id (null first), then a smaller line number; a near copy is one unit inserted, deleted
     or replaced, and every line (also one that goes) makes later copies go. Blank lines stay. Returns doc_id, text,
     n_lines, n_copies and n_near; null texts stay null; fully repeated rows count as one document and all of them get
     its result; other columns aren't read.
