@@ -12,9 +12,8 @@ texts AS (SELECT doc_id, 'own' AS kind, text FROM both_texts UNION ALL SELECT do
 listed AS (SELECT doc_id, kind, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM texts),
 tokens AS (SELECT doc_id, kind, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM listed),
 marked AS (SELECT *, CASE WHEN w IN ({", ".join(f"'{a}'" for a in ANCHORS)}) THEN 1 ELSE 0 END AS anchor FROM tokens),
-counted AS (SELECT *, sum(1 - anchor) OVER p AS c, sum(anchor) OVER p AS run FROM marked WINDOW p AS (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
-content AS (SELECT doc_id, kind, c, w, count(*) OVER (PARTITION BY doc_id, kind, run) AS run_words, row_number() OVER (PARTITION BY doc_id, kind, run ORDER BY c) AS nth FROM counted WHERE anchor = 0),
-spots AS (SELECT DISTINCT doc_id, kind, 0 AS s FROM content UNION SELECT doc_id, kind, c FROM counted WHERE anchor = 1 UNION SELECT doc_id, kind, c - 1 FROM content WHERE run_words > 8 AND nth > 1),
+counted AS (SELECT *, sum(1 - anchor) OVER p AS c FROM marked WINDOW p AS (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+content AS (SELECT doc_id, kind, c, w FROM counted WHERE anchor = 0), spots AS (SELECT DISTINCT doc_id, kind, c AS s FROM counted WHERE anchor = 1),
 chains AS (SELECT DISTINCT s.doc_id, s.kind, substr(md5(' ' || a.w || coalesce(' ' || b.w, '') || coalesce(' ' || d.w, '')), 1, 8) AS sig FROM spots s JOIN content a ON a.doc_id = s.doc_id AND a.kind = s.kind AND a.c = s.s + 1
   LEFT JOIN content b ON b.doc_id = s.doc_id AND b.kind = s.kind AND b.c = s.s + 2 LEFT JOIN content d ON d.doc_id = s.doc_id AND d.kind = s.kind AND d.c = s.s + 3),
 every AS (SELECT * FROM chains UNION ALL SELECT doc_id, kind, substr(md5(array_to_string(w, ' ')), 1, 8) FROM listed l WHERE len(w) > 0 AND NOT EXISTS (SELECT 1 FROM chains c WHERE c.doc_id = l.doc_id AND c.kind = l.kind)),
@@ -23,11 +22,11 @@ sets AS (SELECT l.doc_id, l.kind, coalesce(list_sort(list(DISTINCT e.sig) FILTER
 
 def _likeness(a: str, b: str) -> str:
     shared = f"len(list_intersect({a}, {b}))"
-    return f"round(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE {shared}::DOUBLE / (len({a}) + len({b}) - {shared}) END, 9)"
+    return f"round(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) < 0.1 * greatest(len({a}), len({b})) THEN 0.0 ELSE {shared}::DOUBLE / (len({a}) + len({b}) - {shared}) END, 9)"
 
 
 _SPOTSIGS = f"""WITH {_SIGNATURES} SELECT t.doc_id, length(t.text) AS n_chars, sha256(t.edited) AS edited_sha256, len(o.sigs) || ':' || array_to_string(o.sigs, '') AS fingerprint,
-len(e.sigs) || ':' || array_to_string(e.sigs, '') AS edited_fingerprint, {_likeness("o.sigs", "e.sigs")} AS near_edited, {_likeness("o.sigs", "n.sigs")} AS near_next
+len(e.sigs) || ':' || array_to_string(e.sigs, '') AS edited_fingerprint, {_likeness("o.sigs", "e.sigs")} AS near_edited, {_likeness("o.sigs", "n.sigs")} AS near_next, CAST(floor(ln(greatest(len(o.sigs), 1)) / -ln(0.1) + 1e-9) AS INTEGER) AS part
 FROM both_texts t JOIN sets o ON o.doc_id = t.doc_id AND o.kind = 'own' JOIN sets e ON e.doc_id = t.doc_id AND e.kind = 'edited' JOIN sets n ON n.doc_id = t.next_id AND n.kind = 'own'"""
 
 _LEAKS = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
@@ -47,7 +46,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_words, round(CASE WHEN coalesce(n, 0) > 0 T
 _AHEAD = "coalesce(nullif(list_position(list_transform(range(1, least(a.n, b.n) + 1), lambda i: a.w[i] = b.w[i]), false), 0) - 1, least(a.n, b.n))"
 _BEHIND = "coalesce(nullif(list_position(list_transform(range(1, least(a.n, b.n) + 1), lambda i: a.w[a.n - i + 1] = b.w[b.n - i + 1]), false), 0) - 1, least(a.n, b.n))"
 _LINES = f"""WITH s AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM s),
-f AS (SELECT line, min((doc_id, i)) AS first FROM x WHERE trim(line, ' ') <> '' GROUP BY 1), w AS (SELECT line, first, string_split(line, ' ') AS w, CAST(len(string_split(line, ' ')) AS BIGINT) AS n FROM f),
+f AS (SELECT line, min((doc_id, i)) AS first FROM x WHERE trim(line, ' ') <> '' GROUP BY 1), u AS (SELECT line, first, CASE WHEN len(string_split(line, ' ')) >= 5 THEN string_split(line, ' ') ELSE list_transform(regexp_extract_all(line, '(?s).'), lambda c: chr(1) || c) END AS w FROM f), w AS (SELECT *, CAST(len(w) AS BIGINT) AS n FROM u),
 k AS (SELECT line, first, w, n, unnest([n // 2, (n - 1) // 2]) AS k FROM w WHERE n >= 5), h AS (SELECT *, 'head' AS side, array_to_string(w[1:k], ' ') AS half FROM k UNION SELECT *, 'tail', array_to_string(w[n - k + 1 : n], ' ') FROM k),
 near AS (SELECT DISTINCT b.line FROM h a JOIN h b ON a.side = b.side AND a.k = b.k AND a.half = b.half AND a.first < b.first WHERE abs(a.n - b.n) <= 1 AND {_AHEAD} + {_BEHIND} >= greatest(a.n, b.n) - 1),
 fate AS (SELECT x.doc_id, x.i, x.line, CASE WHEN f.first IS NULL THEN NULL WHEN f.first <> (x.doc_id, x.i) THEN 'copy' WHEN near.line IS NOT NULL THEN 'near' END AS fate FROM x LEFT JOIN f USING (line) LEFT JOIN near USING (line)),

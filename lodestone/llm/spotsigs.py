@@ -1,10 +1,10 @@
 """Document fingerprints by SpotSigs.
 
 A text's signatures are the chains of content words that follow its common words: each common word (an anchor) is a
-spot, and the next content words, with common words skipped, are its chain. A stretch of more than LONG_RUN content
-words without an anchor gives each of its words a spot, and the start of the text is a spot, so every text with a
-content word has a signature. A fingerprint is the set of the chains' hashes. Fingerprints are partitioned by set size,
-so that sets whose sizes rule a likeness out never meet, and compared by Jaccard likeness. DataFrame functions only.
+spot, and the next content words, with common words skipped, are its chain. A text without a chain has one signature,
+of all its words. A fingerprint is the set of the signatures' hashes. Fingerprints are partitioned by set size: only
+those of one or of neighbouring partitions are compared, by Jaccard likeness that is pruned where the sizes rule the
+least likeness out. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -23,26 +23,23 @@ ANCHORS = (
     "auf aus bei das dem den der die ein eine er es im ist mit nicht sich sie und von wie zu "
     "como con del el ella las lo los no para pero por que su una y"
 ).split()
-#: Content words in a chain; content words without an anchor before each becomes one; rows in a bucket of ids.
-CHAIN, LONG_RUN, BUCKET_ROWS, MOST_BUCKETS = 3, 8, 64, 1 << 14
-#: Stand for an anchor and, where a text has anchors only, for the whole text.
+#: Content words in a chain; likeness that a comparison tells from none; rows in a bucket of ids; buckets at most.
+CHAIN, LEAST, BUCKET_ROWS, MOST_BUCKETS = 3, 0.1, 64, 1 << 14
+#: Stands for an anchor.
 MARK = "\u0001"
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The set of chains' hashes (8 hexadecimal digits each), sorted. Equal texts have equal sets; no word: the empty set."""
     digest = lambda s: F.substring(F.md5(s.cast("binary")), 1, 8)
-    words_in = lambda r: F.length(r) - F.length(F.replace(r, F.lit(" "), F.lit("")))
-    each_word = lambda r: F.when(words_in(r) > LONG_RUN, F.regexp_replace(r, r"(?<=[^ ])(?= )", MARK)).otherwise(r)
     pattern = rf"{MARK}(?=((?:{MARK}*+ [^ {MARK}]++){{1,{chain}}}+))"
 
     def of(words: Column) -> Column:
         marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.lit(MARK)).otherwise(F.concat(F.lit(" "), w))), "")
-        spotted = F.array_join(F.transform(F.split(marked, MARK), each_word), MARK)
-        chains = F.regexp_extract_all(F.concat(F.lit(MARK), spotted), F.lit(pattern), F.lit(1))
+        chains = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
         hashed = F.transform(chains, lambda c: digest(F.replace(c, F.lit(MARK), F.lit(""))))
-        anchors_only = F.slice(F.array(digest(F.array_join(words, " "))), F.lit(1), F.least(F.size(words), F.lit(1)))
-        return let(hashed, lambda h: F.when(F.size(h) > 0, h).otherwise(anchors_only))
+        whole = F.slice(F.array(digest(F.array_join(words, " "))), F.lit(1), F.least(F.size(words), F.lit(1)))
+        return let(hashed, lambda h: F.when(F.size(h) > 0, h).otherwise(whole))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.sort_array(F.array_distinct(let(words, of)))
@@ -55,10 +52,10 @@ def fingerprint(signature_set: Column) -> Column:
 
 def size_partition(signature_set: Column, least: float) -> Column:
     """Partition of a set: sizes within one partition, or in neighbouring ones, may reach the likeness `least`; others can't."""
-    return F.floor(F.log(F.greatest(F.size(signature_set), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
+    return F.floor(F.log(F.greatest(F.size(signature_set), F.lit(1)).cast("double")) / F.lit(-math.log(least)) + F.lit(1e-9)).cast("int")
 
 
-def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
+def pruned_jaccard(a: Column, b: Column, least: float = LEAST) -> Column:
     """Jaccard likeness of two sets; 0 without a look at the elements where the sizes alone rule `least` out; two empty sets are alike."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     shared = F.size(F.array_intersect(a, b))
@@ -69,6 +66,11 @@ def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
     )
 
 
+def compared(a: Column, b: Column, part_a: Column, part_b: Column, least: float = LEAST) -> Column:
+    """Likeness of two fingerprints by their size partitions: those more than one apart aren't compared and are unlike (0)."""
+    return F.when(F.abs(part_a - part_b) > 1, F.lit(0.0)).otherwise(pruned_jaccard(a, b, least))
+
+
 def likely_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of documents with different fingerprints whose sets have a likeness of at least `least`: doc_id, other_id, likeness.
 
@@ -116,7 +118,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text (its second half replaced by the next document's start), and likenesses.
+    """Fingerprints of each text and of its edited text (its second half replaced by the next document's start), likenesses
+    (0 where the sizes rule LEAST out) and the fingerprint's size partition.
 
     Null texts count as empty; a single document is its own next one; repeated rows each have a row; an empty table
     gives no rows; other columns aren't read.
@@ -127,7 +130,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("edited_sigs", signatures(F.col("edited")))
+    own, changed, following = (size_partition(F.col(c), LEAST) for c in ("sigs", "edited_sigs", "next_sigs"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        F.round(pruned_jaccard(F.col("sigs"), F.col("edited_sigs")), 9).alias("near_edited"), F.round(pruned_jaccard(F.col("sigs"), F.col("next_sigs")), 9).alias("near_next"),
+        F.round(compared(F.col("sigs"), F.col("edited_sigs"), own, changed), 9).alias("near_edited"), F.round(compared(F.col("sigs"), F.col("next_sigs"), own, following), 9).alias("near_next"), own.alias("part"),
     )
