@@ -67,21 +67,35 @@ def _blocks(sets: DataFrame) -> list[list]:
     return blocks
 
 
-def _search(docs: DataFrame, sets: DataFrame, k: int, containment: float) -> DataFrame:
-    """Pairs (doc_id, item_id) of one block of items, one shingle length."""
-    entries = [r[0] for r in sets.select(F.explode("sketch")).distinct().collect()]
-    known = "hashes" if not entries else f"filter(hashes, h -> h in ({','.join(f'{e}L' for e in entries)}))"
-    rows = docs.select("doc_id", "text", shingles(words_of(F.col("text")), k, lambda w: F.xxhash64(_text(w))).alias("hashes"))
-    rows = rows.withColumn("hits", F.array_distinct(F.expr(known))).where(F.size("hits") > 0)
-    rows = rows.withColumn("partition", size_class(F.size(F.array_distinct("hashes")))).drop("hashes")
-    hot = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "leak-candidates")
+def _search(docs: DataFrame, sets: DataFrame, containment: float) -> DataFrame:
+    """Pairs (doc_id, item_id) of one block of items. One pass over the documents looks for the entries of every shingle length."""
+    entries: dict[int, list[int]] = {}
+    for r in sets.select("k", F.explode("sketch").alias("e")).distinct().collect():
+        entries.setdefault(r.k, []).append(r.e)
+    lengths = sorted(entries)
+    hashed = lambda words, k: shingles(words, k, lambda w: F.xxhash64(_text(w)))
+    among = lambda k: f"array_distinct(filter(hashes{k}, h -> h in ({','.join(f'{e}L' for e in entries[k])})))"
+    rows = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "text", *[hashed(F.col("words"), k).alias(f"hashes{k}") for k in lengths])
+    rows = rows.select("doc_id", "text", *[F.expr(among(k)).alias(f"hits{k}") for k in lengths])
+    some = F.lit(False)
+    for k in lengths:
+        some = some | (F.size(f"hits{k}") > 0)
+    hot = materialise(rows.where(some).withColumn("row", F.monotonically_increasing_id()), "leak-candidates")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hits{k}").alias("hits")) for k in lengths])
+    asked = hot.select("row", "text", F.explode(F.filter(each, lambda e: F.size(e.hits) > 0)).alias("e"))
+    size = F.lit(0)
+    for k in lengths:
+        size = F.when(F.col("e.k") == k, F.size(F.array_distinct(hashed(words_of(F.col("text")), k)))).otherwise(size)
+    asked = asked.select("row", F.col("e.k").alias("k"), size_class(size).alias("partition"), F.explode("e.hits").alias("hit"))
     least = size_class(F.ceil(F.col("q") * containment - 1e-9))
-    index = sets.select("item_no", "need", F.explode("sketch").alias("hit"), least.alias("least"))
-    index = index.select("item_no", "need", "hit", F.explode(F.sequence(F.col("least"), F.lit(31))).alias("partition"))
-    found = hot.select("row", "partition", F.explode("hits").alias("hit")).join(index, ["partition", "hit"])
+    index = sets.select("item_no", "need", "k", least.alias("least"), F.explode("sketch").alias("hit"))
+    found = asked.join(index, ["k", "hit"]).where("least <= partition")
     pairs = found.groupBy("row", "item_no").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
-    checked = pairs.join(hot.select("row", "doc_id", "text"), "row").join(sets.select("item_no", "item_id", "shingles", "q"), "item_no")
-    present = F.size(F.array_intersect(F.col("shingles"), shingles(words_of(F.col("text")), k, _text)))
+    checked = pairs.join(hot.select("row", "doc_id", "text"), "row").join(sets.select("item_no", "item_id", "k", "shingles", "q"), "item_no")
+    present = F.lit(0)
+    for k in lengths:
+        present = F.when(F.col("k") == k, F.size(F.array_intersect(F.col("shingles"), shingles(words_of(F.col("text")), k, _text)))).otherwise(present)
     checked = checked.select("doc_id", "item_id", present.alias("shared"), "q").where(F.col("shared") >= F.ceil(F.col("q") * containment - 1e-9))
     return checked.groupBy("doc_id", "item_id").agg(F.max("shared").cast("long").alias("shared"), F.max("q").cast("long").alias("item_shingles"))
 
@@ -94,13 +108,11 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = WORDS, containment: float
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(item_sets(items, item_id, item_text, k, containment).withColumn("item_no", F.monotonically_increasing_id()), "benchmark-items")
+    blocks = _blocks(sets)
     out = None
-    for length in sorted(r[0] for r in sets.select("k").distinct().collect()):
-        same = sets.where(F.col("k") == length)
-        for block in _blocks(same):
-            some = same if len(block) == 0 else same.where(F.col("item_no").isin(block))
-            found = _search(docs, some, length, containment)
-            out = found if out is None else out.unionByName(found)
+    for block in blocks if blocks[0] else []:
+        found = _search(docs, sets if len(blocks) == 1 else sets.where(F.col("item_no").isin(block)), containment)
+        out = found if out is None else out.unionByName(found)
     if out is None:
         none = T.StructType([docs.schema["doc_id"], T.StructField("item_id", items.schema[item_id].dataType), T.StructField("shared", T.LongType()), T.StructField("item_shingles", T.LongType())])
         out = docs.sparkSession.createDataFrame([], none)
