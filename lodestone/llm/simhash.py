@@ -315,8 +315,9 @@ def near_components(docs: DataFrame, words: int = 4, bound: int = 4, id_col: str
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, bits in a band, bits from a band's start to the next one's, words that bands compare.
-WIDE_WORDS, BAND_BITS, BAND_STEP, BAND_WORDS = 12, 16, 8, 4
+#: Wide fingerprints: words of 64 bits and bits in a band, at least; bits from a band's start to the next one's; words that
+#: bands compare; unlike texts that may share a band's key before bands get longer.
+WIDE_WORDS, BAND_BITS, BAND_STEP, BAND_WORDS, BAND_ROWS = 12, 16, 8, 4, 2048
 #: Standard errors that a proposed pair may be above the likeness: also covers the ties of short texts (3 / 16 of the bits
 #: differ between five shingles and four of them) by four of their own.
 LOOSE = 7.0
@@ -329,6 +330,14 @@ def likeness_bound(likeness: float, bits: int, slack: float = 0.7) -> int:
     return int(np.floor(bits * share + slack * np.sqrt(bits * share * (1 - share))))
 
 
+def bands_for(distinct: int, likeness: float) -> tuple[int, int]:
+    """Bits of a band, so that unlike texts seldom share one, and words of a fingerprint, so that bands of so many bits
+    still find as many pairs right at the likeness as the shortest ones do."""
+    agree = 1 - np.arccos(2 * likeness / (1 + likeness)) / np.pi
+    bits = max(BAND_BITS, int(np.ceil(np.log2(max(distinct, 1) / BAND_ROWS))))
+    return bits, int(np.ceil(WIDE_WORDS * agree ** (BAND_BITS - bits) * bits / BAND_BITS))
+
+
 def _node(text: bytes) -> int:
     """A hash of the text's words in lower case: equal ones have equal shingles."""
     return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7)
@@ -338,7 +347,7 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count: int = WIDE_WORDS) -> DataFrame:
+def wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str, count: int) -> DataFrame:
     """doc_id, text_hash, node (a hash of the distinct shingles' source, the text's words) and count fingerprint words of each row."""
     small_batches(docs.sparkSession)
 
@@ -365,13 +374,13 @@ def with_node(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "node long, text string")
 
 
-def band_keys(columns: list[str]) -> list[Column]:
-    """A key for each band of BAND_BITS bits of the words, from every BAND_STEP-th bit on; the last ones go on in the first word."""
-    keys, mask = [], F.lit((1 << BAND_BITS) - 1)
+def band_keys(columns: list[str], bits: int) -> list[Column]:
+    """A key for each band of so many bits of the words, from every BAND_STEP-th bit on; the last ones go on in the first word."""
+    keys, mask = [], F.lit((1 << bits) - 1).cast("long")
     for k, start in enumerate(range(0, 64 * len(columns), BAND_STEP)):
         word, bit = divmod(start, 64)
         band = F.shiftrightunsigned(columns[word], bit)
-        if bit + BAND_BITS > 64:
+        if bit + bits > 64:
             band = band.bitwiseOR(F.shiftleft(columns[(word + 1) % len(columns)], 64 - bit))
         keys.append(F.xxhash64(F.lit(k), band.bitwiseAND(mask)))
     return keys
@@ -380,9 +389,9 @@ def band_keys(columns: list[str]) -> list[Column]:
 def near_classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (its smallest doc_id) by likeness of the sets of shingles of so many words, closed over chains.
 
-    Fingerprints only propose: nodes that agree on a band of BAND_BITS bits (bands overlap by half) and are within a
-    loose bound on BAND_WORDS words make groups; inside a group every pair within the loose bound on all WIDE_WORDS
-    words is decided by the exact Jaccard likeness of its shingles. So no pair below the likeness is linked; a lone pair
+    Fingerprints only propose: nodes that agree on a band of bits (bands_for; bands overlap by half or more) and are within
+    a loose bound on BAND_WORDS words make groups; inside a group every pair within the loose bound on all the
+    fingerprint's words is decided by the exact Jaccard likeness of its shingles. So no pair below the likeness is linked; a lone pair
     right at 0.8 goes unproposed where no band agrees (rates in README). Texts without words are one class. Null and
     repeated ids as in near_components.
     """
@@ -391,15 +400,16 @@ def near_classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col:
 
 def _classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """near_classes with each row's text_hash and its class's own number, class."""
-    prints = materialise(wide_prints(docs, words, id_col, text_col), "wide-fingerprints")
-    columns = [f"p{k}" for k in range(WIDE_WORDS)]
+    bits, wide = bands_for(docs.agg(F.approx_count_distinct(_text_hash(text_col))).first()[0], likeness)
+    prints = materialise(wide_prints(docs, words, id_col, text_col, wide), "wide-fingerprints")
+    columns = [f"p{k}" for k in range(wide)]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in columns])
     nodes = materialise(nodes, "distinct-texts")
-    keyed = nodes.select("node", *columns[:BAND_WORDS], F.explode(F.array(*band_keys(columns))).alias("key"))
+    keyed = nodes.select("node", *columns[:BAND_WORDS], F.explode(F.array(*band_keys(columns, bits))).alias("key"))
     groups = components(_links_by_key(keyed, BAND_WORDS, likeness_bound(likeness, 64 * BAND_WORDS, LOOSE)))
     texts = with_node(docs, text_col).join(groups, "node").dropDuplicates(["node"])
     suspects = materialise(nodes.select("node", *columns).join(texts.withColumnRenamed("component", "key"), "node"), "suspects")
-    found = components(_links_by_key(suspects, WIDE_WORDS, likeness_bound(likeness, 64 * WIDE_WORDS, LOOSE), (words, likeness)))
+    found = components(_links_by_key(suspects, wide, likeness_bound(likeness, 64 * wide, LOOSE), (words, likeness)))
     placed = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = placed.groupBy("component").agg(F.min("low").alias("class_id"))
     ids = placed.join(lows, "component").select("node", "class_id", F.col("component").alias("class"))

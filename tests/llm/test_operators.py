@@ -398,6 +398,52 @@ def test_near_classes_are_decided_by_shingles(spark):
     assert sum(got[i] != low[of[i]] for i in got) <= 2  # of 180 pairs at 0.8 or more
 
 
+def test_bands_grow_with_the_texts():
+    assert simhash.bands_for(0, 0.8) == simhash.bands_for(10**8, 0.8) == (16, 12)
+    bits, words = simhash.bands_for(10**9, 0.8)
+    assert bits == 19 and 12 < words < 30
+
+
+def test_longer_bands_still_find_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BAND_ROWS", 1 / 2048)  # bands as for two million times as many texts
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        one = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        texts += [one, one[:90] + [f"v{rng.randrange(10**9)}" for _ in range(10)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in simhash.near_classes(df).collect()}
+    assert simhash.bands_for(120, 0.8)[0] == 18 and sum(got[i] == i - 1 for i in got if i % 2) >= 57 and all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_near_classes_of_nothing(nothing):
+    assert simhash.near_classes(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+
+
+def test_recall_of_near_classes(spark):
+    """Every document of a corpus with a like one, by brute force on the shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, t in _rows(docs) if (w := t.encode().lower().split())}
+    holders = collections.defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            holders[g].append(d)
+    shared = collections.Counter((a, b) for ds in holders.values() if len(ds) < 200 for i, a in enumerate(ds) for b in ds[i + 1 :])
+    like = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: r.class_id for r in simhash.near_classes(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in like) >= 0.95 * len(like) and len(like) > 20
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in like:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(d) == find(got[d]) for d in sets)  # no merge that brute force lacks
+
+
 @pytest.mark.parametrize("limit", [8192, 16, 64])
 def test_tiles_of_near_copies(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "LIMIT", limit)
