@@ -144,17 +144,16 @@ def _exact_links(texts: list[str], words: int, likeness: float):
 
 
 def block_links(prints: np.ndarray, bound: int, exact=None) -> list[tuple[int, int]]:
-    """A spanning forest of all links of a block. prints: members by words; the references are members.
+    """A spanning forest of all links of a block. prints: members by words, in an order of chance; the first ones are references.
 
     exact: a function of two arrays of members, which of these pairs are links; without it the bound decides.
     """
     n = len(prints)
     forest, out = _Forest(n), []
     table = np.zeros((n, min(REFERENCES, n)), np.int16)
-    for r in range(table.shape[1]):  # references: members spread over the block
-        at = r * n // table.shape[1]
-        table[:, r] = _distance(prints, prints[at][None, :])
-        near = np.flatnonzero(table[:, r] <= bound)
+    for at in range(table.shape[1]):
+        table[:, at] = _distance(prints, prints[at][None, :])
+        near = np.flatnonzero(table[:, at] <= bound)
         if exact:
             near = near[forest.root[near] != forest.root[at]]
             near = near[exact(np.full(len(near), at), near)]
@@ -206,12 +205,16 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None):
             decide = within(slice(None)) if exact and small.any() else None
             for size in np.unique(sizes[small]):
                 at = cut[sizes == size]
+                tree = np.tile(np.arange(size), (len(at), 1))  # of each block's members, so that a block gives a spanning forest
                 for x, y in itertools.combinations(range(size), 2):
-                    near = _near_pairs(prints, table, at + x, at + y, bound)
+                    rows = np.flatnonzero(tree[:, x] != tree[:, y])
+                    rows = rows[_near_pairs(prints, table, at[rows] + x, at[rows] + y, bound)]
                     if exact:
-                        near = near[decide(at[near] + x, at[near] + y)]
-                    a_out.append(nodes[at[near] + x])
-                    b_out.append(nodes[at[near] + y])
+                        rows = rows[decide(at[rows] + x, at[rows] + y)]
+                    a_out.append(nodes[at[rows] + x])
+                    b_out.append(nodes[at[rows] + y])
+                    some = tree[rows]
+                    tree[rows] = np.where(some == some[:, [y]], some[:, [x]], some)
             for at, size in zip(cut[sizes > 12].tolist(), sizes[sizes > 12].tolist()):
                 links = block_links(prints[at : at + size], bound, within(slice(at, at + size)) if exact else None)
                 if links:
@@ -264,7 +267,7 @@ def _links_by_key(keyed: DataFrame, words: int, bound: int, exact: tuple[int, fl
         ones = F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
         dealt = tiled.select("node", F.col("key").alias("k0"), F.explode(ones).alias("k1"), *prints)
     small_batches(keyed.sparkSession, 1000 if exact else 20_000)
-    ready = dealt.repartition("k0", "k1").sortWithinPartitions("k0", "k1")
+    ready = dealt.repartition("k0", "k1").sortWithinPartitions("k0", "k1", F.xxhash64("node"))  # blocks that share members share references, hence links
     return ready.mapInArrow(_linker(words, bound, exact), "a long, b long").distinct()
 
 
