@@ -25,6 +25,8 @@ from lodestone.llm.graph import components
 
 #: Members of a block or tile, at most; references of a block; rows of a slab of pairs.
 LIMIT, REFERENCES, SLAB = 8192, 24, 1 << 16
+#: Bit of a block's second key from which on its band's number stands; tiles of the block stand below.
+BAND_PLACE = 44
 
 
 def _multiplier(k: int) -> int:
@@ -143,6 +145,16 @@ def _exact_links(texts: list[str], words: int, likeness: float):
     return run
 
 
+def agree_before(a: np.ndarray, b: np.ndarray, band: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs of prints agree on all bytes of a band that starts before theirs, so that they met there already."""
+    same = np.ascontiguousarray(a ^ b, "<u8").view(np.uint8) == 0
+    wide = -(-bits // 8) + (BAND_STEP % 8 > 0)
+    out = np.zeros(len(same), bool)
+    for j in range(same.shape[1] - wide + 1):
+        out |= same[:, j : j + wide].all(axis=1) & (j < band * BAND_STEP // 8)
+    return out
+
+
 def block_links(prints: np.ndarray, bound: int, exact=None) -> list[tuple[int, int]]:
     """A spanning forest of all links of a block. prints: members by words, in an order of chance; the first ones are references.
 
@@ -189,8 +201,11 @@ def block_links(prints: np.ndarray, bound: int, exact=None) -> list[tuple[int, i
     return out
 
 
-def _linker(words: int, bound: int, exact: tuple[int, float] | None = None):
-    """Arrow kernel over rows sorted by key: node, key, p0 .. p(words - 1), and with exact (words of a shingle, likeness), text. Small blocks are compared together, larger ones each by itself."""
+def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits: int = 0):
+    """Arrow kernel over rows sorted by key: node, key, p0 .. p(words - 1), and with exact (words of a shingle, likeness), text. Small blocks are compared together, larger ones each by itself.
+
+    With bits, keys are of bands of so many bits: a link whose ends agree on an earlier band isn't given again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -211,17 +226,21 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None):
                     rows = rows[_near_pairs(prints, table, at[rows] + x, at[rows] + y, bound)]
                     if exact:
                         rows = rows[decide(at[rows] + x, at[rows] + y)]
-                    a_out.append(nodes[at[rows] + x])
-                    b_out.append(nodes[at[rows] + y])
+                    a_out.append(at[rows] + x)
+                    b_out.append(at[rows] + y)
                     some = tree[rows]
                     tree[rows] = np.where(some == some[:, [y]], some[:, [x]], some)
             for at, size in zip(cut[sizes > 12].tolist(), sizes[sizes > 12].tolist()):
                 links = block_links(prints[at : at + size], bound, within(slice(at, at + size)) if exact else None)
                 if links:
                     pairs = np.array(links) + at
-                    a_out.append(nodes[pairs[:, 0]])
-                    b_out.append(nodes[pairs[:, 1]])
+                    a_out.append(pairs[:, 0])
+                    b_out.append(pairs[:, 1])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+            if bits and len(a):
+                new = ~agree_before(prints[a], prints[b], keys[a, 1] >> BAND_PLACE, bits)
+                a, b = a[new], b[new]
+            a, b = nodes[a], nodes[b]
             apart = a != b
             if apart.any():
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[apart], axis=0)
@@ -248,8 +267,8 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None):
     return run
 
 
-def _links_by_key(keyed: DataFrame, words: int, bound: int, exact: tuple[int, float] | None = None) -> DataFrame:
-    """Links (a, b) in all blocks. keyed: node, key, p0 ...; blocks above LIMIT are cut into tiles, every two of which meet.
+def _links_by_key(keyed: DataFrame, words: int, bound: int, exact: tuple[int, float] | None = None, bits: int = 0) -> DataFrame:
+    """Links (a, b) in all blocks. keyed: node, key, p0 ... (with bits, band too); blocks above LIMIT are cut into tiles, every two of which meet.
 
     With exact (words of a shingle, likeness), keyed has the text too, and pairs within the bound are links only if
     their shingles say so; blocks hold texts then and are cut above a quarter of LIMIT.
@@ -258,17 +277,18 @@ def _links_by_key(keyed: DataFrame, words: int, bound: int, exact: tuple[int, fl
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     over = sizes.where(F.col("n") > limit).withColumn("tiles", F.ceil(F.col("n") / (limit // 2)).cast("int")).drop("n")
     prints = [f"p{k}" for k in range(words)] + (["text"] if exact else [])
+    band = (F.col("band").cast("long") if bits else F.lit(0).cast("long")) * F.lit(1 << BAND_PLACE)
     if over.isEmpty():
-        dealt = keyed.select("node", F.col("key").alias("k0"), F.lit(0).cast("long").alias("k1"), *prints)
+        dealt = keyed.select("node", F.col("key").alias("k0"), band.alias("k1"), *prints)
     else:
         tiled = keyed.join(over, "key", "left")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("long")
         pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(tile, t) * F.lit(1 << 20) + F.greatest(tile, t))
         ones = F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-        dealt = tiled.select("node", F.col("key").alias("k0"), F.explode(ones).alias("k1"), *prints)
+        dealt = tiled.select("node", F.col("key").alias("k0"), F.explode(F.transform(ones, lambda t: t + band)).alias("k1"), *prints)
     small_batches(keyed.sparkSession, 1000 if exact else 20_000)
     ready = dealt.repartition("k0", "k1").sortWithinPartitions("k0", "k1", F.xxhash64("node"))  # blocks that share members share references, hence links
-    return ready.mapInArrow(_linker(words, bound, exact), "a long, b long").distinct()
+    return ready.mapInArrow(_linker(words, bound, exact, bits), "a long, b long").distinct()
 
 
 def group_keys(value: Column, bound: int, groups: int) -> Column:
@@ -408,8 +428,8 @@ def _classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str
     columns = [f"p{k}" for k in range(wide)]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in columns])
     nodes = materialise(nodes, "distinct-texts")
-    keyed = nodes.select("node", *columns[:BAND_WORDS], F.explode(F.array(*band_keys(columns, bits))).alias("key"))
-    groups = components(_links_by_key(keyed, BAND_WORDS, likeness_bound(likeness, 64 * BAND_WORDS, LOOSE)))
+    keyed = nodes.select("node", *columns[:BAND_WORDS], F.posexplode(F.array(*band_keys(columns, bits))).alias("band", "key"))
+    groups = components(_links_by_key(keyed, BAND_WORDS, likeness_bound(likeness, 64 * BAND_WORDS, LOOSE), bits=bits))
     texts = with_node(docs, text_col).join(groups, "node").dropDuplicates(["node"])
     suspects = materialise(nodes.select("node", *columns).join(texts.withColumnRenamed("component", "key"), "node"), "suspects")
     found = components(_links_by_key(suspects, wide, likeness_bound(likeness, 64 * wide, LOOSE), (words, likeness)))
