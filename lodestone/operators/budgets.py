@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.streaming.places import scratch
+
 #: Limits of a run and of its windows.
 PER_SESSION, PER_ADDRESS, WINDOW_S = 20, 60, 3600
 TOKENS_HOUR, TOKENS_DAY, CONCURRENT = 1_000_000, 5_000_000, 5
@@ -36,14 +38,38 @@ class Windows:
         return None
 
 
+def linked_groups(attempts: DataFrame) -> DataFrame:
+    """session_id and group (the least address reachable) of every session: sessions and addresses that share attempts, closed over chains.
+
+    Least addresses travel between sessions and addresses until nothing changes; each round is written to the shared
+    folder, so a lost executor costs one round.
+    """
+    spark = attempts.sparkSession
+    edges = attempts.select("session_id", "address").distinct()
+    now, before = edges.withColumn("label", F.col("address")), None
+    while True:
+        by_session = edges.join(now.groupBy("session_id").agg(F.min("label").alias("label")), "session_id")
+        by_address = by_session.groupBy("address").agg(F.min("label").alias("label"))
+        path = scratch(spark, "admission-groups")
+        edges.join(by_address, "address").write.parquet(path)
+        now = spark.read.parquet(path)
+        state = now.agg(F.sum(F.xxhash64("session_id", "address", "label").cast("decimal(38,0)"))).first()[0]
+        if state == before:
+            return now.groupBy("session_id").agg(F.min("label").alias("group"))
+        before = state
+
+
 def admissions(attempts: DataFrame, per_session: int = PER_SESSION, per_address: int = PER_ADDRESS, window: float = WINDOW_S, group: Column | None = None) -> DataFrame:
     """Replay of attempts (attempt_id, session_id, address, at in seconds) in time order: attempt_id, admitted, reason.
 
-    Windows of sessions and addresses depend on each other where they share attempts, so attempts are split by
-    `group`: keys that never share a session or an address across groups (by default one group for each address,
-    which is exact where a session keeps its address).
+    Windows of sessions and addresses depend on each other where they share attempts, so attempts are split into groups
+    that never share a session or an address: linked_groups, or the given `group` where the caller knows them. No
+    session and no address is null.
     """
-    rows = attempts.withColumn("__group", group if group is not None else F.col("address"))
+    if group is None:
+        rows = attempts.join(linked_groups(attempts).withColumnRenamed("group", "__group"), "session_id")
+    else:
+        rows = attempts.withColumn("__group", group)
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         state = Windows(per_session, per_address, window)

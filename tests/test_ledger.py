@@ -83,3 +83,12 @@ def test_envelopes(spark):
     runs = spark.createDataFrame([("a", "completed", "q", "{}"), ("b", "completed", "q", None), ("c", "failed", "q", None)], "run_id string, status string, question string, result_json string")
     legacy = spark.createDataFrame([("b", '{"old":1}')], "run_id string, adapted_json string")
     assert {r.run_id: r.kind for r in ledger.envelopes(runs, legacy).collect()} == {"a": "stored", "b": "adapted", "c": "empty"}
+
+
+def test_a_session_on_many_addresses_keeps_its_limit(spark):
+    rows = [(i, "s", f"a{i % 5}", float(i)) for i in range(25)] + [(100 + i, f"t{i % 3}", "b", float(i)) for i in range(9)] + [(200, "t0", "c", 50.0)]
+    attempts = spark.createDataFrame(rows, "attempt_id long, session_id string, address string, at double").repartition(3)
+    got = budgets.admissions(attempts, 20, 8, 3600).collect()
+    assert sorted(r.attempt_id for r in got if not r.admitted) == [20, 21, 22, 23, 24, 108] and len(got) == 35
+    groups = {r.session_id: r.group for r in budgets.linked_groups(attempts).collect()}
+    assert groups == {"s": "a0", "t0": "b", "t1": "b", "t2": "b"}
