@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, small_batches
+from lodestone.llm.common import dropping_shuffles, materialise, small_batches
 from lodestone.llm.graph import components
 
 #: Members of a block or tile, at most; references of a block; rows of a slab of pairs.
@@ -155,13 +156,19 @@ def agree_before(a: np.ndarray, b: np.ndarray, band: np.ndarray, bits: int) -> n
     return out
 
 
-def block_links(prints: np.ndarray, bound: int, exact=None) -> list[tuple[int, int]]:
+def block_links(prints: np.ndarray, bound: int, exact=None, trees: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of all links of a block. prints: members by words, in an order of chance; the first ones are references.
 
     exact: a function of two arrays of members, which of these pairs are links; without it the bound decides.
+    trees: numbers of members, equal ones for those joined already, whose links aren't sought again.
     """
     n = len(prints)
     forest, out = _Forest(n), []
+    if trees is not None:
+        _, first, inverse = np.unique(trees, return_index=True, return_inverse=True)
+        forest.root = first[inverse]
+        if len(first) == 1:
+            return out
     table = np.zeros((n, min(REFERENCES, n)), np.int16)
     for at in range(table.shape[1]):
         table[:, at] = _distance(prints, prints[at][None, :])
@@ -204,13 +211,13 @@ def block_links(prints: np.ndarray, bound: int, exact=None) -> list[tuple[int, i
 def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits: int = 0):
     """Arrow kernel over rows sorted by key: node, key, p0 .. p(words - 1), and with exact (words of a shingle, likeness), text. Small blocks are compared together, larger ones each by itself.
 
-    With bits, keys are of bands of so many bits: a link whose ends agree on an earlier band isn't given again.
+    A column tree (null: the node) tells which nodes are joined already: links are between trees, and only new ones. With bits, keys are of bands of so many bits: a link whose ends agree on an earlier band isn't given again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def emit(keys, nodes, prints, *texts) -> Iterator[pa.RecordBatch]:
+        def emit(keys, trees, prints, *texts) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             sizes = np.diff(np.append(cut, len(keys)))
             a_out, b_out = [], []
@@ -220,7 +227,7 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits
             decide = within(slice(None)) if exact and small.any() else None
             for size in np.unique(sizes[small]):
                 at = cut[sizes == size]
-                tree = np.tile(np.arange(size), (len(at), 1))  # of each block's members, so that a block gives a spanning forest
+                tree = trees[at[:, None] + np.arange(size)]  # of each block's members, so that a block gives a spanning forest
                 for x, y in itertools.combinations(range(size), 2):
                     rows = np.flatnonzero(tree[:, x] != tree[:, y])
                     rows = rows[_near_pairs(prints, table, at[rows] + x, at[rows] + y, bound)]
@@ -231,7 +238,7 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits
                     some = tree[rows]
                     tree[rows] = np.where(some == some[:, [y]], some[:, [x]], some)
             for at, size in zip(cut[sizes > 12].tolist(), sizes[sizes > 12].tolist()):
-                links = block_links(prints[at : at + size], bound, within(slice(at, at + size)) if exact else None)
+                links = block_links(prints[at : at + size], bound, within(slice(at, at + size)) if exact else None, trees[at : at + size])
                 if links:
                     pairs = np.array(links) + at
                     a_out.append(pairs[:, 0])
@@ -240,7 +247,7 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits
             if bits and len(a):
                 new = ~agree_before(prints[a], prints[b], keys[a, 1] >> BAND_PLACE, bits)
                 a, b = a[new], b[new]
-            a, b = nodes[a], nodes[b]
+            a, b = trees[a], trees[b]
             apart = a != b
             if apart.any():
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[apart], axis=0)
@@ -253,7 +260,7 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits
             keys = np.stack([whole("k0"), whole("k1")], 1)
             prints = np.stack([whole(f"p{k}").view(np.uint64) for k in range(words)], 1)
             texts = [np.array(batch.column("text").to_pylist(), object)] if exact else []
-            held.append((keys, whole("node"), prints, *texts))
+            held.append((keys, whole("node") if "tree" not in batch.schema.names else pc.coalesce(batch.column("tree"), batch.column("node")).to_numpy(), prints, *texts))
             rows = [np.concatenate(x) for x in zip(*held)]
             keys = rows[0]
             other = np.flatnonzero((keys != keys[-1]).any(axis=1))
@@ -267,30 +274,93 @@ def _linker(words: int, bound: int, exact: tuple[int, float] | None = None, bits
     return run
 
 
-def _links_by_key(keyed: DataFrame, words: int, bound: int, exact: tuple[int, float] | None = None, bits: int = 0) -> DataFrame:
-    """Links (a, b) in all blocks. keyed: node, key, p0 ... (with bits, band too); blocks above LIMIT are cut into tiles, every two of which meet.
+def _crowded(keyed: DataFrame, limit: int) -> DataFrame:
+    """key and tiles of blocks of more than so many members."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return sizes.select("key", F.ceil(F.col("n") / (limit // 2)).cast("int").alias("tiles"))
 
-    With exact (words of a shingle, likeness), keyed has the text too, and pairs within the bound are links only if
-    their shingles say so; blocks hold texts then and are cut above a quarter of LIMIT.
+
+def _dealt(keyed: DataFrame, over: DataFrame | None, columns: list[str], bits: int = 0, among: str = "all") -> DataFrame:
+    """Rows with the keys k0 and k1 of their block, or of each pair of tiles in which they meet others.
+
+    among: all; own (small blocks, and each tile by itself); others (pairs of unlike tiles).
     """
-    limit = LIMIT // 4 if exact else LIMIT
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    over = sizes.where(F.col("n") > limit).withColumn("tiles", F.ceil(F.col("n") / (limit // 2)).cast("int")).drop("n")
-    prints = [f"p{k}" for k in range(words)] + (["text"] if exact else [])
     band = (F.col("band").cast("long") if bits else F.lit(0).cast("long")) * F.lit(1 << BAND_PLACE)
-    if over.isEmpty():
-        dealt = keyed.select("node", F.col("key").alias("k0"), band.alias("k1"), *prints)
-    else:
-        tiled = keyed.join(over, "key", "left")
-        tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("long")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(tile, t) * F.lit(1 << 20) + F.greatest(tile, t))
-        ones = F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-        dealt = tiled.select("node", F.col("key").alias("k0"), F.explode(F.transform(ones, lambda t: t + band)).alias("k1"), *prints)
-    small_batches(keyed.sparkSession, 1000 if exact else 20_000)
+    if over is None:
+        return keyed.select(F.col("key").alias("k0"), band.alias("k1"), *columns)
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("long")
+    pair = lambda t: F.least(tile, t) * F.lit(1 << 20) + F.greatest(tile, t)
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    if among == "others":
+        pairs = F.transform(F.filter(every, lambda t: t != tile), pair)
+        return keyed.join(over, "key").select(F.col("key").alias("k0"), F.explode(F.transform(pairs, lambda t: t + band)).alias("k1"), *columns)
+    pairs = F.array(pair(tile)) if among == "own" else F.transform(every, pair)
+    pairs = F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return keyed.join(over, "key", "left").select(F.col("key").alias("k0"), F.explode(F.transform(pairs, lambda t: t + band)).alias("k1"), *columns)
+
+
+def _links(dealt: DataFrame, words: int, bound: int, exact: tuple[int, float] | None = None, bits: int = 0) -> DataFrame:
+    """Links (a, b) of all blocks of dealt rows: node (and tree), k0, k1, p0 .. p(words - 1), and with exact the text."""
+    small_batches(dealt.sparkSession, 1000 if exact else 20_000)
     ready = dealt.repartition("k0", "k1").sortWithinPartitions("k0", "k1", F.xxhash64("node"))  # blocks that share members share references, hence links
     return ready.mapInArrow(_linker(words, bound, exact, bits), "a long, b long").distinct()
 
 
+def _over(keyed: DataFrame, limit: int) -> DataFrame | None:
+    """_crowded, or None where no block is."""
+    over = _crowded(keyed, limit)
+    with dropping_shuffles(keyed.sparkSession):
+        return None if over.isEmpty() else over
+
+
+def _links_by_key(keyed: DataFrame, words: int, bound: int) -> DataFrame:
+    """Links (a, b) in all blocks. keyed: node, key, p0 ...; blocks above LIMIT are cut into tiles, every two of which meet."""
+    return _links(_dealt(keyed, _over(keyed, LIMIT), ["node", *[f"p{k}" for k in range(words)]]), words, bound)
+
+
+def _with_tree(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """rows with tree, the tree that the node is joined to (null: none)."""
+    return rows.join(trees.withColumnRenamed("component", "tree"), "node", "left")
+
+
+def _grown(trees: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of trees (node, component) that further links between trees join."""
+    return components(trees.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def banded_components(nodes: DataFrame, columns: list[str], bits: int, bound: int) -> DataFrame:
+    """node and component of nodes that bands propose as near. nodes: node and the columns of fingerprint words.
+
+    The first FIRST_BANDS bands join most members of a group of copies; all others then give links only between trees
+    that are still apart, so that links don't grow with the bands that a group shares.
+    """
+    keys, prints = band_keys(columns, bits), columns[:BAND_WORDS]
+
+    def links(rows: DataFrame, some: slice) -> DataFrame:
+        bands = F.array(*[F.struct(F.lit(k).alias("band"), key.alias("key")) for k, key in list(enumerate(keys))[some]])
+        own = ["node", *(["tree"] if "tree" in rows.columns else []), *prints]
+        keyed = rows.select(*own, F.inline(bands))
+        return _links(_dealt(keyed, _over(keyed, LIMIT), own, bits), BAND_WORDS, bound, bits=bits)
+
+    trees = materialise(components(links(nodes, slice(FIRST_BANDS))), "trees")
+    return _grown(trees, links(_with_tree(nodes, trees), slice(FIRST_BANDS, None)))
+
+
+def exact_components(suspects: DataFrame, columns: list[str], bound: int, words: int, likeness: float) -> DataFrame:
+    """node and component of suspects by the exact likeness of their shingles. suspects: node, key (its group), text, columns.
+
+    Blocks hold texts and are cut above a quarter of LIMIT: each tile is joined by itself first, and pairs of tiles then
+    give links only between trees that are still apart.
+    """
+    over, own = _over(suspects, LIMIT // 4), ["node", *columns, "text"]
+    trees = components(_links(_dealt(suspects, over, own, among="own"), len(columns), bound, (words, likeness)))
+    if over is None:
+        return trees
+    trees = materialise(trees, "trees")
+    across = _dealt(_with_tree(suspects, trees), over, [*own, "tree"], among="others")
+    return _grown(trees, _links(across, len(columns), bound, (words, likeness)))
+
+
 def group_keys(value: Column, bound: int, groups: int) -> Column:
     """Keys of a 64-bit fingerprint: its bits in every choice of groups - bound of so many groups, each with the choice's number."""
     edges = [64 * g // groups for g in range(groups + 1)]
@@ -341,6 +411,8 @@ def near_components(docs: DataFrame, words: int = 4, bound: int = 4, id_col: str
 #: Wide fingerprints: words of 64 bits and bits in a band, at least; bits from a band's start to the next one's; words that
 #: bands compare; unlike texts that may share a band's key before bands get longer.
 WIDE_WORDS, BAND_BITS, BAND_STEP, BAND_WORDS, BAND_ROWS = 12, 16, 8, 4, 2048
+#: Bands whose links are found before those of all others.
+FIRST_BANDS = 8
 #: Standard errors that a proposed pair may be above the likeness: also covers the ties of short texts (3 / 16 of the bits
 #: differ between five shingles and four of them) by four of their own.
 LOOSE = 7.0
@@ -428,11 +500,10 @@ def _classes(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str
     columns = [f"p{k}" for k in range(wide)]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in columns])
     nodes = materialise(nodes, "distinct-texts")
-    keyed = nodes.select("node", *columns[:BAND_WORDS], F.posexplode(F.array(*band_keys(columns, bits))).alias("band", "key"))
-    groups = components(_links_by_key(keyed, BAND_WORDS, likeness_bound(likeness, 64 * BAND_WORDS, LOOSE), bits=bits))
+    groups = materialise(banded_components(nodes, columns, bits, likeness_bound(likeness, 64 * BAND_WORDS, LOOSE)), "groups")
     texts = with_node(docs, text_col).join(groups, "node").dropDuplicates(["node"])
     suspects = materialise(nodes.select("node", *columns).join(texts.withColumnRenamed("component", "key"), "node"), "suspects")
-    found = components(_links_by_key(suspects, wide, likeness_bound(likeness, 64 * wide, LOOSE), (words, likeness)))
+    found = exact_components(suspects, columns, likeness_bound(likeness, 64 * wide, LOOSE), words, likeness)
     placed = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = placed.groupBy("component").agg(F.min("low").alias("class_id"))
     ids = placed.join(lows, "component").select("node", "class_id", F.col("component").alias("class"))
