@@ -355,6 +355,15 @@ def test_pivots_discard_no_link():
     assert classes(_closure(range(300), lambda a, b: (a, b) in pairs)) == classes(_closure(range(300), lambda a, b: near[a, b])) and len(links) < 300
 
 
+def test_trees_of_a_block_give_new_links_only():
+    prints = np.zeros((40, 2), np.uint64)
+    prints[20:] = np.uint64(2**64 - 1)
+    trees = np.repeat([7, 3, 9, 5], 10)
+    links = simhash.block_links(prints, 8, trees=trees)
+    assert sorted(sorted((trees[a], trees[b])) for a, b in links) == [[3, 7], [5, 9]]
+    assert simhash.block_links(prints, 8, trees=np.zeros(40, np.int64)) == []
+
+
 def test_one_of_each_keeps_unlike_texts(edge, documents):
     kept = simhash.one_of_each(edge)
     ids = [r.doc_id for r in kept.collect()]
