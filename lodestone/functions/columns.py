@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 
 def token_estimate(text: Column) -> Column:
     """1.32 tokens a word, rounded, at least one."""
@@ -99,3 +104,23 @@ def valid_session(token: Column) -> Column:
 
 def session_digest(token: Column) -> Column:
     return F.sha2(token, 256)
+
+
+@functools.cache
+def _folding() -> tuple[str, str]:
+    """Characters that index words change, and what becomes of them; marks that go stand last, where the second string has ended."""
+    kept = {c: b for n in range(128, sys.maxunicode + 1) if not 0xD800 <= n < 0xE000 and (b := T.bare(c := chr(n))) != c}
+    letters = [c for c, b in kept.items() if b]
+    return "".join(letters + [c for c, b in kept.items() if not b]), "".join(kept[c] for c in letters)
+
+
+def index_words(text: Column) -> Column:
+    """Words of the lexical index, as `text.index_words` gives them: runs of letters and digits, lower case, Latin letters without diacritics."""
+    lower = F.lower(text)
+    plain = F.when(lower.rlike(r"[^\x00-\x7F]"), F.translate(lower, *_folding())).otherwise(lower)
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def search_parts(query: Column) -> Column:
+    """Search phrases of a query, as `text.query_phrases` gives them: its first tokens; each is later split into index words."""
+    return F.slice(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_.$%+-]+"), F.lit(0)), 1, T.MOST_QUERY_TOKENS)

@@ -184,6 +184,10 @@ class _Bare(dict):
 _BARE = _Bare()
 
 
+def bare(letter: str) -> str:
+    return _BARE[ord(letter)]
+
+
 def index_words(text: str) -> list[str]:
     """Words of the lexical index: runs of letters and digits, lower case, diacritics of Latin letters removed."""
     return WORD.findall(text.lower().translate(_BARE))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import dot
+from lodestone.functions.columns import dot, index_words, preview, search_parts
 
 #: Constants of BM25 and of rank fusion.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
@@ -20,14 +20,12 @@ def clamp_k(k: Column) -> Column:
     return F.least(F.greatest(k, F.lit(1)), F.lit(MOST_RESULTS))
 
 
-def native_words(text: Column) -> Column:
-    """Index words of ASCII text: runs of letters and digits, lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def postings(records: DataFrame, words: Column, id_col: str = "chunk_id") -> DataFrame:
-    """token, id, positions (from 0) and dl (words of the record)."""
-    each = records.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.size("words").alias("dl"), F.posexplode("words").alias("position", "token"))
+def postings(records: DataFrame, words: Column, id_col: str = "chunk_id", phrases: DataFrame | None = None) -> DataFrame:
+    """token, id, positions (from 0) and dl (words of the record). With phrases (words): of their tokens only."""
+    sized = records.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("dl", F.size("words"))  # before the explosion, whose rows then don't carry the words
+    each = sized.select("id", "dl", F.posexplode("words").alias("position", "token"))
+    if phrases is not None:
+        each = each.join(phrases.select(F.explode("words").alias("token")).distinct(), "token", "left_semi")
     return each.groupBy("token", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
 
 
@@ -36,17 +34,27 @@ def corpus_stats(records: DataFrame, words: Column) -> DataFrame:
     return records.agg(F.count("*").alias("n_docs"), F.avg(F.size(words)).alias("avgdl"))
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """query_id, phrase_no and words: the search phrases of queries (query_id, text). A part of a query that holds no index word is none."""
+    parts = queries.select("query_id", F.posexplode(search_parts(F.col("text"))).alias("phrase_no", "part"))
+    return parts.select("query_id", "phrase_no", index_words(F.col("part")).alias("words")).where(F.size("words") > 0)
+
+
 def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """query_id, phrase_no, id, f (occurrences) and dl. phrases: query_id, phrase_no, words.
 
-    A phrase of several words is an equi-join of its words' postings on the record, with each position moved back by
-    the word's place: occurrences are the starts that all words share.
+    Equal phrases are looked up once. A phrase of one word is its postings; one of several words is an equi-join of its
+    words' postings on the record, each word's positions moved back by its place: occurrences are the starts that all share.
     """
-    parts = phrases.where(F.size("words") > 0).select("query_id", "phrase_no", F.size("words").alias("n"), F.posexplode("words").alias("place", "token"))
-    starts = parts.join(index, "token").select("query_id", "phrase_no", "n", "id", "dl", "place", F.explode("positions").alias("position"))
-    starts = starts.withColumn("start", F.col("position") - F.col("place"))
-    whole = starts.groupBy("query_id", "phrase_no", "id", "start").agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("dl").alias("dl")).where("held = n")
-    return whole.groupBy("query_id", "phrase_no", "id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+    wanted = phrases.where(F.size("words") > 0)
+    each = wanted.select("words").distinct()
+    one = each.where(F.size("words") == 1).withColumn("token", F.element_at("words", 1)).join(index, "token").select("words", "id", F.size("positions").cast("long").alias("f"), "dl")
+    parts = each.where(F.size("words") > 1).select("words", F.posexplode("words").alias("place", "token"))
+    starts = parts.join(index, "token").select("words", "id", "dl", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
+    whole = starts.groupBy("words", "id").agg(F.collect_list("starts").alias("all"), F.first("dl").alias("dl")).where(F.size("all") == F.size("words"))
+    shared = F.aggregate(F.slice("all", F.lit(2), F.size("all") - 1), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b))
+    several = whole.select("words", "id", F.size(shared).cast("long").alias("f"), "dl").where("f > 0")
+    return wanted.join(one.unionByName(several), "words").select("query_id", "phrase_no", "id", "f", "dl")
 
 
 def bm25(index: DataFrame, phrases: DataFrame, stats: DataFrame) -> DataFrame:
@@ -97,6 +105,82 @@ def hybrid_topk(vectors: DataFrame, queries: DataFrame, index: DataFrame, phrase
     return fuse(dense_topk(vectors, queries, depth), lexical_topk(index, phrases, stats, depth), k)
 
 
+def search(
+    mode: str, records: DataFrame, top_k: int = 8, vectors: DataFrame | None = None, queries: DataFrame | None = None, index: DataFrame | None = None, phrases: DataFrame | None = None,
+    stats: DataFrame | None = None, allowed: DataFrame | None = None, dated: DataFrame | None = None,
+) -> DataFrame:
+    """Search of a batch in mode dense, lexical or hybrid: query_id, rank and what is known of each hit.
+
+    records: chunk_id, document_id, document_name, page, page_label, normalized_text, sha256. top_k is clamped to 1 to
+    MOST_RESULTS. allowed (id) are records by document, dated (id) by date; null means all. Both narrow the dense side
+    before its top-k; on the lexical side dates count only after max(4k, 32) rows were taken. score is the inner product,
+    1 / (FUSION + rank), or the sum of both sides' reciprocal ranks; what a side doesn't know is null. Hits without a
+    record are left out, ties go by id.
+    """
+    if mode not in ("dense", "lexical", "hybrid"):
+        raise ValueError(f"no search mode {mode}")
+    k = max(1, min(top_k, MOST_RESULTS))
+    depth = max(3 * k, 24) if mode == "hybrid" else k
+    dense = lexical = None
+    if mode != "lexical":
+        pool = vectors if allowed is None else vectors.join(allowed, "id", "left_semi")
+        dense = dense_topk(pool, queries, depth, dated).select("query_id", "id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
+    if mode != "dense":
+        lexical = lexical_topk(index, phrases, stats, depth, allowed, dated).select("query_id", "id", F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
+    if mode == "hybrid":
+        sides = dense.join(lexical, ["query_id", "id"], "full_outer")
+    elif mode == "dense":
+        sides = dense.withColumns({"lexical_score": F.lit(None).cast("double"), "lexical_rank": F.lit(None).cast("int")})
+    else:
+        sides = lexical.withColumns({"dense_score": F.lit(None).cast("double"), "dense_rank": F.lit(None).cast("int")})
+    part = lambda rank: F.coalesce(1 / (F.lit(FUSION) + F.col(rank)), F.lit(0.0))
+    score = F.col("dense_score") if mode == "dense" else part("dense_rank") + part("lexical_rank")
+    hits = ranked(sides.withColumn("score", score), k, descending=True).join(records.withColumnRenamed("chunk_id", "id"), "id")
+    return hits.select(
+        "query_id", "rank", F.col("id").alias("chunk_id"), *[F.round(F.round(c, 9), 7).alias(c) for c in ("score", "dense_score", "lexical_score")], "dense_rank", "lexical_rank", F.lit(mode).alias("retrieval_mode"),
+        "document_id", "document_name", "page", "page_label", preview(F.col("normalized_text")).alias("preview"), "sha256",
+    )
+
+
+def ordered_chunks(records: DataFrame) -> DataFrame:
+    """All records with nth, their place (from 0) in the order of document, page and position.
+
+    Places come from the counts of the documents before, so only a document's own records are ordered together.
+    """
+    counts = records.groupBy("document_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("document_id", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = Window.partitionBy("document_id").orderBy("page", "chunk_position")
+    return records.join(starts, "document_id").withColumn("nth", F.col("start") + F.row_number().over(inside) - 1).drop("start")
+
+
+def page_range(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, chunk_id and nth (from 1, by page and position) of the records on wanted pages (query_id, document_id, page_from, page_to; both ends count)."""
+    found = records.join(wanted, "document_id").where(F.col("page").between(F.col("page_from"), F.col("page_to")))
+    return found.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "chunk_position")).alias("nth"))
+
+
+def inspect(documents: DataFrame, pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, document_id, document_name and pages (by number) of wanted (query_id, document_id, page_from, page_to; a null end is open).
+
+    A document without a page in the range has no pages; an unknown document is an error.
+    """
+    known = wanted.join(documents.select("document_id", "document_name", F.lit(True).alias("known")), "document_id", "left")
+    name = F.when(F.col("known"), F.col("document_name")).otherwise(F.raise_error(F.concat(F.lit("unknown document: "), F.col("document_id").cast("string"))))
+    known = known.select("query_id", "document_id", "page_from", "page_to", name.alias("document_name"))
+    page = F.struct("page", "page_label", F.col("raw_text").alias("text"), "table_markdown", F.sha2("raw_text", 256).alias("sha256"))
+    inside = (F.col("page") >= F.coalesce("page_from", "page")) & (F.col("page") <= F.coalesce("page_to", "page"))
+    found = known.join(pages.select("document_id", "page", page.alias("shown")), "document_id", "left")
+    return found.groupBy("query_id", "document_id", "document_name").agg(F.sort_array(F.collect_list(F.when(inside, F.col("shown")))).alias("pages"))
+
+
+def source_file(documents: DataFrame, document_ids: DataFrame, root: str) -> DataFrame:
+    """document_id and path of each wanted document's stored source; an unknown document is an error."""
+    found = document_ids.select("document_id").join(documents.select("document_id", "source_file"), "document_id", "left")
+    path = F.concat(F.lit(root.rstrip("/") + "/documents/"), F.col("source_file"))
+    return found.select("document_id", F.when(F.col("source_file").isNotNull(), path).otherwise(F.raise_error(F.concat(F.lit("unknown document: "), F.col("document_id").cast("string")))).alias("path"))
+
+
 def candidates(records: DataFrame, documents: DataFrame, document_ids: list[str] | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Chunk ids by document and by the document's first known date. Dates compare as strings; no date fails any bound."""
     kept = documents

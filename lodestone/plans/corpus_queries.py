@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import arrow
 from lodestone.functions import columns as C
-from lodestone.operators import chunking
+from lodestone.operators import chunking, retrieval
 from lodestone.plans.registry import query
-from lodestone.plans.tables import chunk_records, table, turns
+from lodestone.plans.tables import chunk_records, spread, table, turns
 
 
 @query("token_estimate", "SELECT doc_id, greatest(1, CAST(round(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) * 1.32) AS INT)) AS tokens FROM documents")
@@ -83,16 +83,9 @@ def session_digest(spark, sf):
     return table(spark, sf, "events").select("event_id", C.valid_session(token).alias("valid"), C.session_digest(token).alias("digest"))
 
 
-@query("normalized_documents", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS normalized FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '[A-Za-z0-9_]-[ \\t\\n\\x0B\\f\\r]*\\n')")
+@query("normalized_documents")
 def normalized_documents(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]") & ~F.col("text").rlike("[A-Za-z0-9_]-\\s*\\n"))
-    return docs.select("doc_id", arrow.normalize_evidence("text").alias("normalized"))
-
-
-@query("normalized_all_documents")
-def normalized_all_documents(spark, sf):
-    """Documents of every language, those too that the SQL of normalized_documents leaves out."""
-    return table(spark, sf, "documents").select("doc_id", arrow.normalize_evidence("text").alias("normalized"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", arrow.normalize_evidence("text").alias("normalized"))
 
 
 @query("chunk_counts")
@@ -153,11 +146,50 @@ def corpus_summary(spark, sf):
     )
 
 
-@query("inspect_pages", "SELECT conv_id, count(*) AS pages, string_agg(turn || ':' || length(text), '|' ORDER BY turn) AS lengths FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY conv_id")
+def _pages(spark, sf):
+    """Conversations as documents, their turns as pages."""
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.col("role").alias("page_label"), F.col("text").alias("raw_text"), C.table_markdown(F.col("text")).alias("table_markdown"))
+
+
+def _page_requests(spark, sf):
+    """For each conversation its pages 1 to 3; every third is asked from page 2 on without an end."""
+    third = F.col("document_id") % 3 == 0
+    rows = _pages(spark, sf).select("document_id").distinct()
+    return rows.select(F.col("document_id").alias("query_id"), "document_id", F.when(third, 2).otherwise(1).alias("page_from"), F.when(~third, 3).alias("page_to"))
+
+
+@query(
+    "inspect_pages",
+    """SELECT conv_id AS document_id, 'conversation ' || conv_id AS document_name, coalesce(string_agg(turn || ':' || role || ':' || sha256(text), '|' ORDER BY turn) FILTER (CASE WHEN conv_id % 3 = 0 THEN turn >= 2 ELSE turn BETWEEN 1 AND 3 END), '') AS pages
+    FROM conversations GROUP BY conv_id""",
+)
 def inspect_pages(spark, sf):
-    rows = table(spark, sf, "conversations").where(F.col("turn").between(1, 3))
-    page = F.struct("turn", F.concat_ws(":", "turn", F.length("text")).alias("shown"))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("pages"), F.array_join(F.transform(F.sort_array(F.collect_list(page)), lambda p: p.shown), "|").alias("lengths"))
+    documents = _pages(spark, sf).select("document_id").distinct().withColumn("document_name", F.concat(F.lit("conversation "), "document_id"))
+    found = retrieval.inspect(documents, _pages(spark, sf), _page_requests(spark, sf))
+    shown = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p.page, p.page_label, p.sha256)), "|")
+    return found.select("document_id", "document_name", shown.alias("pages"))
+
+
+@query(
+    "page_range",
+    """SELECT conv_id AS query_id, 'c' || conv_id || 't' || turn AS chunk_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS nth FROM conversations WHERE turn BETWEEN 1 AND 3""",
+)
+def page_range(spark, sf):
+    rows = turns(spark, sf).select("chunk_id", F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.lit(0).alias("chunk_position"))
+    wanted = rows.select("document_id").distinct().select(F.col("document_id").alias("query_id"), "document_id", F.lit(1).alias("page_from"), F.lit(3).alias("page_to"))
+    return retrieval.page_range(rows, wanted)
+
+
+@query("ordered_chunks", "SELECT 'c' || conv_id || 't' || turn AS chunk_id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS nth FROM conversations")
+def ordered_chunks(spark, sf):
+    rows = turns(spark, sf).select("chunk_id", F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.lit(0).alias("chunk_position"))
+    return retrieval.ordered_chunks(rows).select("chunk_id", "nth")
+
+
+@query("source_files", "SELECT doc_id AS document_id, 'corpus/documents/' || source || '.txt' AS path FROM documents")
+def source_files(spark, sf):
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.concat("source", F.lit(".txt")).alias("source_file"))
+    return retrieval.source_file(documents, documents, "corpus/")
 
 
 @query("document_suffixes", "SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after_chars FROM conversations")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.columns import index_words
 from lodestone.operators import chunking, retrieval
 
 
@@ -12,8 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where their scan has fewer tasks than that (a small file of one row group)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(chunking.pages_of_documents(table(spark, sf_dir, "documents")))
+    return chunking.chunks(chunking.pages_of_documents(spread(table(spark, sf_dir, "documents"))))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +33,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"previous_chunk_id": F.lag("chunk_id").over(order), "next_chunk_id": F.lead("chunk_id").over(order)})
 
 
-def query_phrases(spark: SparkSession, sf_dir: str, words=retrieval.native_words) -> DataFrame:
-    """Of each benchmark item: its first three words as phrases of one word, and its first two as one phrase."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    one = lambda i: F.array(F.element_at("w", i))
-    phrases = F.array(one(1), one(2), one(3), F.slice("w", 1, 2))
-    return items.select("query_id", F.posexplode(phrases).alias("phrase_no", "words"))
+def query_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search phrases of each benchmark item."""
+    return retrieval.query_words(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+def item_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole benchmark item as one phrase."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("phrase_no"), index_words(F.col("text")).alias("words"))
+    return items.where(F.size("words") > 0)
 
 
 def query_vectors(spark: SparkSession, sf_dir: str, modulus: int = 50) -> DataFrame:

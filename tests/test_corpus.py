@@ -123,5 +123,5 @@ def test_all_documents_are_normalized(spark, tmp_path):
     texts = ["plain  ascii\n text ", "L\u2019e\u0301te\u0301  \ufb01nit", "Stra\u00dfen-\n  bahn in K\u00f6ln", "ni\u00f1o\u00a0peque\u00f1o \u00bd", "line-\nbreak", "a - \n b", ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: " ".join(re.sub(r"(\w)-\s*\n\s*(?=\w)", r"\1", unicodedata.normalize("NFKC", t)).split()) for i, t in enumerate(texts)}
-    got = {r.doc_id: r.normalized for r in entry.queries()["normalized_all_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.normalized for r in entry.queries()["normalized_documents"](spark, str(tmp_path)).collect()}
     assert got == want and got[1] == "L\u2019\u00e9t\u00e9 finit" and got[2] == "Stra\u00dfenbahn in K\u00f6ln" and got[4] == "linebreak"

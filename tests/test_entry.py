@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["token_estimate", "paragraph_split", "table_rows", "turn_links", "dense_topk_filtered", "phrase_scan", "neighbor_radius", "terminal_status_agreement", "committed_tokens", "bind_generated_assertions", "claim_status", "absence_conclusion"]
+CHECKED = ["token_estimate", "paragraph_split", "table_rows", "turn_links", "dense_topk_filtered", "phrase_scan", "search_dense_filtered", "inspect_pages", "ordered_chunks", "neighbor_radius", "terminal_status_agreement", "committed_tokens", "bind_generated_assertions", "claim_status", "absence_conclusion"]
 
 
 def test_entry(spark):

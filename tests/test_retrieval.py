@@ -3,6 +3,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import columns as C
 from lodestone.functions import text as T
 from lodestone.operators import containment
 from lodestone.operators import retrieval as R
@@ -111,18 +112,19 @@ def test_unicode_queries_are_those_of_fts5(spark, tmp_path):
     db.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='unicode61 remove_diacritics 2')")
     db.executemany("INSERT INTO f (rowid, text) VALUES (?, ?)", enumerate(LANGUAGES))
     db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, row)")
-    assert {(r.token, r.n_docs, r.occurrences) for r in run("postings_stats_unicode")} == set(db.execute("SELECT term, doc, cnt FROM v"))
-    ranks, holds = {}, set()
+    assert {(r.token, r.n_docs, r.occurrences) for r in run("postings_stats")} == set(db.execute("SELECT term, doc, cnt FROM v"))
+    ranks, holds, counts = {}, set(), {}
     for q, text in enumerate(items):
         a, b, c = text.split()
-        match = f'"{a}" OR "{b}" OR "{c}" OR "{a} {b}"'
+        match = f'"{a}" OR "{b}" OR "{c}"'
         for n, (i, score) in enumerate(db.execute("SELECT rowid, bm25(f) AS s FROM f WHERE f MATCH ? ORDER BY round(s, 9), rowid LIMIT 8", (match,))):
             ranks[q, i] = n + 1, round(score, 5)
-        holds |= {(q, i) for (i,) in db.execute("SELECT rowid FROM f WHERE f MATCH ?", (f'"{a} {b}"',))}
-    got = {(r.query_id, r.id): (r.rank, r.score) for r in run("bm25_topk_unicode")}
+        holds |= {(q, i) for (i,) in db.execute("SELECT rowid FROM f WHERE f MATCH ?", (f'"{text}"',))}
+        counts |= {q * 100 + n: held for n, w in enumerate((a, b, c)) if (held := db.execute("SELECT count(*) FROM f WHERE f MATCH ?", (f'"{w}"',)).fetchone()[0])}
+    got = {(r.query_id, r.id): (r.rank, r.score) for r in run("bm25_topk")}
     assert got.keys() == ranks.keys() and all(got[k][0] == ranks[k][0] and abs(got[k][1] - ranks[k][1]) < 2e-5 for k in got)
-    assert {(r.query_id, r.id) for r in run("phrase_scan_unicode")} == holds
-    assert {r.query_id: r.candidates for r in run("exact_scan_guard_unicode")} == {q: sum(k == q for k, _ in holds) for q, _ in holds}
+    assert {(r.query_id, r.id) for r in run("phrase_scan")} == holds
+    assert {r.query_id: r.candidates for r in run("exact_scan_guard")} == counts
 
 
 def test_unicode_words_of_documents_are_those_of_fts5(spark):
@@ -136,3 +138,28 @@ def test_unicode_words_of_documents_are_those_of_fts5(spark):
         for w in T.index_words(t):
             want[w] = want.get(w, 0) + 1
     assert want == dict(db.execute("SELECT term, cnt FROM v"))
+
+
+def test_native_words_are_the_plain_ones(spark):
+    texts = [*LANGUAGES, "", "İstanbul ŒUVRE ǅ x̂y a_b 1½ ①", *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string").select("text", C.index_words(F.col("text")).alias("words"), C.search_parts(F.col("text")).alias("parts"))
+    assert not [r.text for r in rows.collect() if r.words != T.index_words(r.text) or r.parts != T.query_phrases(r.text)]
+
+
+def test_phrases_of_repeated_words(spark):
+    records = spark.createDataFrame([(1, ["a", "a", "a", "b"]), (2, ["a", "b", "a"]), (3, [])], "chunk_id long, words array<string>")
+    phrases = spark.createDataFrame([(1, 0, ["a", "a"]), (1, 1, ["a", "b"]), (2, 0, ["a", "b"]), (2, 1, ["b"]), (2, 2, ["c"])], "query_id int, phrase_no int, words array<string>")
+    for index in (R.postings(records, F.col("words")), R.postings(records, F.col("words"), phrases=phrases)):
+        assert {tuple(r) for r in R.phrase_hits(index, phrases).collect()} == {(1, 0, 1, 2, 4), (1, 1, 1, 1, 4), (1, 1, 2, 1, 3), (2, 0, 1, 1, 4), (2, 0, 2, 1, 3), (2, 1, 1, 1, 4), (2, 1, 2, 1, 3)}
+
+
+def test_inspection(spark):
+    documents = spark.createDataFrame([("d", "Name"), ("e", "Other")], "document_id string, document_name string")
+    pages = spark.createDataFrame([("d", n, str(n), f"text {n}", None) for n in (3, 1, 2)], "document_id string, page int, page_label string, raw_text string, table_markdown string")
+    wanted = lambda *rows: spark.createDataFrame(list(rows), "query_id int, document_id string, page_from int, page_to int")
+    got = {r.query_id: [p.page for p in r.pages] for r in R.inspect(documents, pages, wanted((1, "d", None, None), (2, "d", 2, None), (3, "d", None, 1), (4, "e", 1, 9))).collect()}
+    assert got == {1: [1, 2, 3], 2: [2, 3], 3: [1], 4: []}
+    with pytest.raises(Exception, match="unknown document: x"):
+        R.inspect(documents, pages, wanted((1, "x", None, None))).collect()
+    with pytest.raises(ValueError, match="mode"):
+        R.search("fuzzy", pages)
