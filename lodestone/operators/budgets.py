@@ -80,37 +80,76 @@ def admissions(attempts: DataFrame, per_session: int = PER_SESSION, per_address:
     return rows.groupBy("__group").applyInPandas(replay, "attempt_id long, admitted boolean, reason string")
 
 
+class Reservations:
+    """Token reservations of one budget, replayed in order. Committed tokens of a window are the spending in it plus what
+    reservations hold beyond all that their run has spent; both are kept as running sums."""
+
+    def __init__(self, hourly: int = TOKENS_HOUR, daily: int = TOKENS_DAY):
+        self.windows = [("hourly", hourly, 3600.0, deque()), ("daily", daily, 86400.0, deque())]
+        self.recent, self.held, self.spent, self.open = [0, 0], {}, {}, 0
+
+    def _full(self, more: int, at: float) -> str | None:
+        for i, (_, _, window, calls) in enumerate(self.windows):
+            while calls and calls[0][0] < at - window:
+                self.recent[i] -= calls.popleft()[1]
+        return next((name for i, (name, limit, _, _) in enumerate(self.windows) if self.recent[i] + self.open + more > limit), None)
+
+    def _hold(self, run: str, tokens: int | None) -> None:
+        beyond = lambda: max(self.held.get(run, 0) - self.spent.get(run, 0), 0)
+        self.open -= beyond()
+        self.held.pop(run, None) if tokens is None else self.held.__setitem__(run, tokens)
+        self.open += beyond()
+
+    def step(self, op: str, run: str, at: float, tokens: int) -> str:
+        """reserve: hold tokens for a run, once. expand: hold at least what is spent and tokens more, before a call.
+        spend: a call's tokens; the hold is at least all that is spent. release: hold nothing."""
+        if op == "reserve":
+            if run in self.held:
+                return "already_reserved"
+            if (full := self._full(tokens, at)) is None:
+                self._hold(run, tokens)
+            return full or "admitted"
+        if op == "expand":
+            if run not in self.held:
+                return "no_reservation"
+            needed = self.spent.get(run, 0) + tokens
+            if needed <= self.held[run]:
+                return "admitted"
+            if (full := self._full(needed - self.held[run], at)) is None:
+                self._hold(run, needed)
+            return full or "admitted"
+        if op == "spend":
+            held = self.held.get(run)
+            self._hold(run, None)
+            self.spent[run] = self.spent.get(run, 0) + tokens
+            for i, (_, _, _, calls) in enumerate(self.windows):
+                calls.append((at, tokens))
+                self.recent[i] += tokens
+            if held is not None:
+                self._hold(run, max(held, self.spent[run]))
+            return "spent"
+        self._hold(run, None)
+        return "released"
+
+
 def reservation_replay(requests: list[dict], hourly: int, daily: int) -> list[str]:
-    """Outcomes of ordered steps: reserve (run, tokens), expand (run, tokens), spend (run, tokens), release (run), all with `at` in seconds.
+    """Outcomes of ordered steps of one budget: op (reserve, expand, spend, release), run, at in seconds, tokens."""
+    state = Reservations(hourly, daily)
+    return [state.step(s["op"], s["run"], s["at"], s.get("tokens") or 0) for s in requests]
+
 
-    Committed tokens of a window are the spending in it plus what reservations hold beyond all their run has spent.
+def reservations(steps: DataFrame, hourly: int = TOKENS_HOUR, daily: int = TOKENS_DAY) -> DataFrame:
+    """step_id and outcome of every step (budget, step_id, op, run_id, at in seconds, tokens), by time, then step_id.
+
+    Every outcome depends on all earlier steps of its budget, so one budget's steps are one ordered task; budgets run
+    beside each other. Null tokens are none.
     """
-    held: dict[str, int] = {}
-    spent: list[tuple[float, str, int]] = []
-
-    def committed(at: float, window: float) -> int:
-        total = lambda run: sum(n for _, r, n in spent if r == run)
-        return sum(n for t, _, n in spent if t >= at - window) + sum(max(n - total(r), 0) for r, n in held.items())
-
-    out = []
-    for step in requests:
-        run, at, tokens = step["run"], step["at"], step.get("tokens", 0)
-        if step["op"] in ("reserve", "expand"):
-            before = held.get(run)
-            held[run] = (before or 0) + tokens
-            full = next((name for name, limit, window in (("hourly", hourly, 3600), ("daily", daily, 86400)) if committed(at, window) > limit), None)
-            if full:
-                held.pop(run) if before is None else held.__setitem__(run, before)
-            out.append(full or "admitted")
-        elif step["op"] == "spend":
-            spent.append((at, run, tokens))
-            if run in held:
-                held[run] = max(held[run], sum(n for _, r, n in spent if r == run))
-            out.append("spent")
-        else:
-            held.pop(run, None)
-            out.append("released")
-    return out
+    def replay(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["at", "step_id"])
+        state = Reservations(hourly, daily)
+        return pd.DataFrame({"step_id": part.step_id, "outcome": [state.step(o, r, t, int(n)) for o, r, t, n in zip(part.op, part.run_id, part["at"], part.tokens.fillna(0))]})
+
+    return steps.select("budget", "step_id", "op", "run_id", "at", "tokens").groupBy("budget").applyInPandas(replay, "step_id long, outcome string")
 
 
 def committed_tokens(calls: DataFrame, reservations: DataFrame, since: Column) -> DataFrame:

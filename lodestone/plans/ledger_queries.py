@@ -136,6 +136,14 @@ def admission_replay(spark, sf):
     return budgets.admissions(attempts, per_session=20, per_address=60, window=86400)
 
 
+@query("reservation_replay")
+def reservation_replay(spark, sf):
+    """A user is a budget; its events are steps of three runs in turn."""
+    op = F.element_at(F.array(*map(F.lit, ("reserve", "expand", "spend", "release"))), (F.col("event_id") % 4 + 1).cast("int"))
+    steps = table(spark, sf, "events").select(F.col("user_id").alias("budget"), F.col("event_id").alias("step_id"), op.alias("op"), (F.col("event_id") % 3).cast("string").alias("run_id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_id") % 500).alias("tokens"))
+    return budgets.reservations(steps, 600, 2000)
+
+
 @query(
     "opened_budget",
     """WITH f AS (SELECT user_id, event_id, event_type || (event_id % 11) AS item, CAST(event_id % 500 AS BIGINT) AS tokens FROM events), g AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, item ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS new FROM f)

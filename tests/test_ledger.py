@@ -71,6 +71,15 @@ def test_reservations():
     assert budgets.reservation_replay([step("reserve", "a", 100), step("spend", "a", 60), step("reserve", "b", 10)], 110, 110) == ["admitted", "spent", "admitted"]
     late = [step("reserve", "a", 100), step("spend", "a", 60), step("reserve", "b", 60, 4000), step("reserve", "c", 1, 4000)]
     assert budgets.reservation_replay(late, 100, 10_000) == ["admitted", "spent", "admitted", "hourly"]
+    grows = [step("expand", "a", 5), step("reserve", "a", 50), step("reserve", "a", 1), step("spend", "a", 30), step("expand", "a", 20), step("expand", "a", 40), step("expand", "a", 71), step("spend", "a", 90), step("release", "a", 0), step("reserve", "b", 1), step("reserve", "b", 1, 3601)]
+    assert budgets.reservation_replay(grows, 100, 10_000) == ["no_reservation", "admitted", "already_reserved", "spent", "admitted", "admitted", "hourly", "spent", "released", "hourly", "admitted"]
+
+
+def test_reservations_of_budgets(spark):
+    rows = [("x", 1, "reserve", "a", 0.0, 60), ("y", 2, "reserve", "a", 0.0, 60), ("x", 3, "reserve", "b", 1.0, 60), ("y", 4, "release", "a", 1.0, None), ("y", 5, "reserve", "b", 2.0, 60)]
+    steps = spark.createDataFrame(rows, "budget string, step_id long, op string, run_id string, at double, tokens long").repartition(3)
+    assert {tuple(r) for r in budgets.reservations(steps, 100, 100).collect()} == {(1, "admitted"), (2, "admitted"), (3, "hourly"), (4, "released"), (5, "admitted")}
+    assert budgets.reservations(steps.where("false")).count() == 0
 
 
 def test_tool_budgets(spark):
